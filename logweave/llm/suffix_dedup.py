@@ -19,7 +19,7 @@ All data that meet in a task are one chunk of documents or one slice of triggers
 shuffle partition. What a chunk sends for a phrase it sends once, so no common passage heats a slice.
 
 Null texts count as empty, null ids as smaller than all others; rows with equal ids never remove each other's bytes.
-Texts shorter than ``width`` are kept as they are. Other columns stay with ``dedup`` and are not read by ``report``.
+Texts shorter than ``width`` are kept as they are. Other columns are not read, but for those to carry along.
 """
 
 from __future__ import annotations
@@ -262,7 +262,7 @@ def _suffixes(width: int):
     return suffixes
 
 
-def _decide(slices: int, width: int, texts: bool):
+def _decide(slices: int, width: int, texts: bool, carried: int):
     def decide(table: pa.Table, fate: pa.Table) -> pa.Table:
         parse, own, ids, order = _chunk(table, slices, width)
         whole, mask = np.zeros(len(own.one), bool), np.zeros(len(own.one), np.uint64)
@@ -294,23 +294,27 @@ def _decide(slices: int, width: int, texts: bool):
         columns = [pa.array([null[i] for i in order.tolist()], pa.int64()), pa.array(parse.size, pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())]
         names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
         if texts:
-            columns, names = [*columns, pa.array(kept, pa.binary())], [*names, "kept"]
+            columns, names = [*columns, pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string())], [*names, "kept_text"]
+        for k in range(carried):
+            columns, names = [*columns, table[f"carried_{k}"].take(pa.array(order))], [*names, f"carried_{k}"]
         return pa.table(columns, names=names)
 
     return decide
 
 
-def suffix_dedup(docs: DataFrame, width: int = WIDTH, texts: bool = True, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with ``texts``, the bytes kept, for each row of docs.
+def suffix_dedup(docs: DataFrame, width: int = WIDTH, texts: bool = True, carry: tuple[str, ...] = (), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, with ``texts`` kept_text, and the columns in ``carry`` as carried_0, ...
 
+    kept_sha256 is of all bytes that stay; from kept_text a character goes whole if only a part of it would stay.
     width is from 17 to 64 bytes. One text exchange serves all three visits to a chunk.
     """
     spark = session(docs.sparkSession)
     n = 4 * shuffle_partitions(spark)
-    parts = chunked(docs, n, key, text)
+    parts = chunked(docs, n, key, text, carry)
     sent = parts.groupBy("chunk").applyInArrow(_send(n, width), _DDL["sent"])
     back = sent.groupBy("slice").applyInArrow(_meet, _DDL["back"])
     shared = parts.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_compare(n, width), _DDL["shared"])
     fate = shared.groupBy("slice").applyInArrow(_suffixes(width), _DDL["fate"])
-    out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * texts
-    return parts.groupBy("chunk").cogroup(fate.groupBy("chunk")).applyInArrow(_decide(n, width, texts), out)
+    kinds = dict(docs.dtypes)
+    out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * texts + "".join(f", carried_{k} {kinds[c]}" for k, c in enumerate(carry))
+    return parts.groupBy("chunk").cogroup(fate.groupBy("chunk")).applyInArrow(_decide(n, width, texts, len(carry)), out)
