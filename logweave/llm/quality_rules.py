@@ -66,6 +66,12 @@ def verdict(rules: tuple[Rule, ...] = RULES) -> Column:
     return out
 
 
+def _held(column: Column) -> Column:
+    """The column as it is, but marked as non-deterministic: a filter on the result is then not pushed below the projection
+    that computes it, where the windows would be built again for each of their elements."""
+    return F.when(F.spark_partition_id() >= 0, column)
+
+
 def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_stop_words, base_failed, kept."""
     own = [c for c in docs.columns if c not in {"n_words", *BASE, "n_lines", "n_stop_words", "base_failed", "kept"}]
@@ -89,14 +95,14 @@ def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text"
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         F.size(F.filter("words", lambda w: F.lower(w).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
-        F.sort_array(window).alias("sorted"),
+        _held(F.sort_array(window)).alias("sorted"),
     )
     same = lambda i, d: F.get(F.col("sorted"), i)["w"].eqNullSafe(F.get(F.col("sorted"), i + d)["w"])
     twice = F.filter(F.col("sorted"), lambda x, i: ((i > 0) & same(i, -1)) | ((i < F.size("sorted") - 1) & same(i, 1)))
-    three = two.select(*kept, *counts, "n_words", "n_lines", "n_dup_lines", "n_stop_words", F.sort_array(F.transform(twice, lambda x: x["i"])).alias("at"))
+    three = two.select(*kept, *counts, "n_words", "n_lines", "n_dup_lines", "n_stop_words", _held(F.sort_array(F.transform(twice, lambda x: x["i"]))).alias("at"))
     # a window's words up to the next window's first
     covered = F.aggregate(F.transform("at", lambda x, i: F.least(F.lit(3), F.coalesce(F.get(F.col("at"), i + 1) - x, F.lit(3)))), F.lit(0), lambda a, x: a + x)
-    four = three.select(*kept, *counts, "n_words", "n_lines", "n_dup_lines", "n_stop_words", covered.cast("long").alias("n_repeat_words"))
+    four = three.select(*kept, *counts, "n_words", "n_lines", "n_dup_lines", "n_stop_words", _held(covered.cast("long")).alias("n_repeat_words"))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return four.select(
         *(F.col(f"own_{i}").alias(c) for i, c in enumerate(own)),
