@@ -15,8 +15,8 @@ A byte goes if a ``width``-byte string that covers it also starts in a document
 Triggers are 32 bits in one of many slices, phrases 64 bits more: two different phrases are taken for equal with a chance
 of about 2**-96 for each pair; the suffixes in step 3 are compared as bytes.
 
-All data that meet in a task are one chunk of documents or one slice of triggers; there are four of each for every
-shuffle partition. What a chunk sends for a phrase it sends once, so no common passage heats a slice.
+All data that meet in a task are one chunk of documents or one slice of triggers; there are four chunks and one slice for
+every shuffle partition. What a chunk sends for a phrase it sends once, so no common passage heats a slice.
 
 Null texts count as empty, null ids as smaller than all others; rows with equal ids never remove each other's bytes.
 Texts shorter than ``width`` are kept as they are. Other columns are not read, but for those to carry along.
@@ -309,8 +309,8 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, texts: bool = True, carry:
     width is from 17 to 64 bytes. One text exchange serves all three visits to a chunk.
     """
     spark = session(docs.sparkSession)
-    n = 4 * shuffle_partitions(spark)
-    parts = chunked(docs, n, key, text, carry)
+    n = shuffle_partitions(spark)
+    parts = chunked(docs, 4 * n, key, text, carry)
     sent = parts.groupBy("chunk").applyInArrow(_send(n, width), _DDL["sent"])
     back = sent.groupBy("slice").applyInArrow(_meet, _DDL["back"])
     shared = parts.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_compare(n, width), _DDL["shared"])
