@@ -76,7 +76,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class WordHashes(dict):
     """64-bit hashes of byte words, computed once for each; emptied when it has grown to its bound."""
 
-    BOUND = 1_000_000
+    BOUND = 250_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.BOUND:

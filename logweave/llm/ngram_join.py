@@ -13,7 +13,8 @@ The matrix has a row for each distinct set of word n-grams (copies share one) an
    returns a spanning forest of its links, never the pairs.
 5. *Classes.* Connected components of those forests; each document gets the least doc_id of its component.
 
-N-grams and sets are known by 64-bit hashes: among N different sets two agree with a chance of N * N / 2**65.
+Sets are known by 64-bit hashes: among N different ones two agree with a chance of N * N / 2**65. N-grams are known by their
+slice and 48 further bits: two texts of n n-grams each get one too many in common with a chance of n * n / 2**48 / slices.
 
 A common n-gram makes one list in step 1, packed by the chunk that sends it, and one star in step 3. A group that holds a
 share of all rows costs a product of that share's square, in parallel blocks; its rows are copied once for each of its
@@ -95,8 +96,14 @@ def _unpack(data: bytes, *kinds) -> tuple[np.ndarray, ...]:
     cls, size, run = np.frombuffer(data, np.int64, n, 8), np.frombuffer(data, np.uint32, n, 8 + 8 * n), np.frombuffer(data, np.uint32, n, 8 + 12 * n)
     out, at, rows = [cls, size, run], 8 + 16 * n, int(run.sum())
     for kind in kinds:
-        out.append(np.frombuffer(data, kind, rows, at))
-        at += rows * np.dtype(kind).itemsize
+        if kind == "six":
+            whole = np.zeros((rows, 8), np.uint8)
+            whole[:, :6] = np.frombuffer(data, np.uint8, 6 * rows, at).reshape(rows, 6)
+            out.append(whole.view("<u8").ravel())
+            at += 6 * rows
+        else:
+            out.append(np.frombuffer(data, kind, rows, at))
+            at += rows * np.dtype(kind).itemsize
     return tuple(out)
 
 
@@ -111,6 +118,16 @@ def _by_slice(part: np.ndarray, cls: np.ndarray, size: np.ndarray, *columns: np.
         yield pa.record_batch([pa.array([r[0] for r in some], pa.int32()), pa.array([r[1] for r in some], pa.binary())], schema=_PACKED)
 
 
+def slice_of(g: np.ndarray, slices: int) -> np.ndarray:
+    """By the 16 upper bits, so that a slice and the lower 48 bits tell n-grams apart."""
+    return ((g >> np.uint64(48)) * np.uint64(slices) >> np.uint64(16)).astype(np.int32)
+
+
+def _six(g: np.ndarray) -> np.ndarray:
+    """The lower 48 bits, as rows of 6 bytes."""
+    return np.ascontiguousarray(g.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+
+
 def _entries(words: int, slices: int):
     def entries(batches):
         held: dict[int, np.ndarray] = {}
@@ -122,7 +139,7 @@ def _entries(words: int, slices: int):
                 size = np.fromiter(map(len, sets), np.int64, len(sets))
                 g = np.concatenate(sets)
                 held.clear()
-                yield from _by_slice((g % np.uint64(slices)).astype(np.int32), np.repeat(keys, size), np.repeat(size, size), g)
+                yield from _by_slice(slice_of(g, slices), np.repeat(keys, size), np.repeat(size, size), _six(g))
 
         for b in batches:
             for s in shingles(b["body"].to_pylist(), words):
@@ -140,7 +157,7 @@ def _entries(words: int, slices: int):
 def _columns(slices: int):
     def columns(table: pa.Table) -> pa.Table:
         """Keeps the slice's columns that have two entries or more, and dealt by class sends them on with their length."""
-        parts = [_unpack(d, np.uint64) for d in table["data"].to_pylist()]
+        parts = [_unpack(d, "six") for d in table["data"].to_pylist()]
         keys = np.concatenate([np.repeat(p[0], p[2]) for p in parts])
         size = np.concatenate([np.repeat(p[1], p[2]) for p in parts])
         g = np.concatenate([p[3] for p in parts])
@@ -151,7 +168,8 @@ def _columns(slices: int):
         at = cuts(g)
         df = np.repeat(np.diff(at), np.diff(at))
         ok = df >= 2
-        keys, size, g, df = keys[ok], size[ok], g[ok], df[ok]
+        # from here on the slice is part of the n-gram's name
+        keys, size, g, df = keys[ok], size[ok], g[ok] | np.uint64(table["slice"][0].as_py() % 65536) << np.uint64(48), df[ok]
         part = (keys.view(np.uint64) % np.uint64(slices)).astype(np.int32)
         return pa.Table.from_batches(list(_by_slice(part, keys, size, g, df.astype(np.uint32))), _PACKED)
 
@@ -234,7 +252,7 @@ def _product(threshold: int):
 def ngram_components(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs; ``threshold`` is the least Jaccard similarity in percent."""
     spark = session(docs.sparkSession)
-    slices = 4 * shuffle_partitions(spark)
+    slices = shuffle_partitions(spark)
     bodies = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
     members = frozen(bodies.mapInArrow(_members(words), "doc_id long, n_shingles long, cls long"), "sets")
     packed = "slice int, data binary"
