@@ -180,7 +180,7 @@ def _slice(max_bits: int, min_count: int):
 def train(docs: DataFrame, max_bytes: int = MAX_BYTES, min_count: int = MIN_COUNT, text: str = "text") -> tuple[int, int, LogFrequencyFilter]:
     """(N, V, filter) of all rows of docs. The driver gets one row for each slice, max_bytes at most in all."""
     spark = session(docs.sparkSession)
-    slices = 4 * shuffle_partitions(spark)
+    slices = shuffle_partitions(spark)
     bodies = docs.select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
     grams = bodies.mapInArrow(_grams(slices), "slice int, words binary, word_counts binary, pairs binary, pair_counts binary")
     parts = {r.slice: r for r in grams.groupBy("slice").applyInArrow(_slice(8 * max_bytes // slices, min_count), "slice int, n long, v long, bits binary").toLocalIterator()}
@@ -250,8 +250,8 @@ def lm_scores(docs: DataFrame, max_bytes: int = MAX_BYTES, min_count: int = MIN_
     spark = session(docs.sparkSession)
     n, v, known = train(docs.where(~held_out(key)), max_bytes, min_count, text)
     model = spark.sparkContext.broadcast(known)
-    slices = 4 * shuffle_partitions(spark)
-    parts = chunked(docs, slices, key, text).withColumn("held_out", held_out("doc_id"))
+    slices = shuffle_partitions(spark)
+    parts = chunked(docs, 4 * slices, key, text).withColumn("held_out", held_out("doc_id"))
     words = parts.groupBy("chunk").applyInArrow(_words(slices), "slice int, chunk int, words binary, counts binary")
     totals = words.groupBy("slice").applyInArrow(_totals, "chunk int, slice int, counts binary")
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
