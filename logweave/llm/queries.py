@@ -95,8 +95,8 @@ w as (
   select doc_id, t, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') as w,
          list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines
   from d),
-at as (select doc_id, w, unnest(range(1, len(w) - 1)) as i from w),
-grams as (select doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g from at),
+placed as (select doc_id, w, unnest(range(1, len(w) - 1)) as i from w),
+grams as (select doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g from placed),
 twice as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, g) as n from grams) where n > 1),
 repeated as (select doc_id, count(distinct i + k) as n from twice, (values (0), (1), (2)) o(k) group by doc_id),
 m as (
