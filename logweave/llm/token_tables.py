@@ -5,8 +5,8 @@ Documents are dealt by ranges of their id and sorted; each task encodes its rang
     blocks | index | Bloom filter | footer
 
 A block holds entries (key, value) up to about ``BLOCK`` bytes. A key is stored as the number of bytes that it shares with
-the one before, the rest's length and the rest; a value is the ids as little-endian integers, with a zlib checksum over the
-block. The index has each block's last key, place and length; the filter has each key; the footer says where they are. A
+the one before, the rest's length and the rest; a value is the ids as little-endian integers of 2 bytes, or of 4 where an
+id of the shard's vocabulary needs them, with a zlib checksum over the block. The index has each block's last key, place and length; the filter has each key; the footer says where they are. A
 look-up reads the footer, asks the filter, searches the index by bisection and decodes one block (more only where a key is
 repeated over several).
 
@@ -78,13 +78,16 @@ def _bits(keys: np.ndarray, size: int) -> np.ndarray:
 class ShardWriter:
     """Writes entries, which come in the order of their keys, to an open binary file."""
 
-    def __init__(self, out):
+    def __init__(self, out, wide: int = 4):
+        self.kind = f"<u{wide}"
         self.out, self.at, self.n, self.tokens = out, 0, 0, 0
         self.index: list[tuple[bytes, int, int]] = []
         self.hashes: list[int] = []
         self.block, self.last = bytearray(), b""
 
-    def add(self, key: bytes, value: bytes) -> None:
+    def add(self, key: bytes, ids: bytes) -> None:
+        """ids: little-endian 32-bit integers."""
+        value = np.frombuffer(ids, "<u4").astype(self.kind).tobytes()
         if len(self.block) >= BLOCK:
             self._close()
         shared = 0
@@ -95,7 +98,7 @@ class ShardWriter:
         self.last = key
         self.hashes.append(xxhash.xxh3_64_intdigest(key))
         self.n += 1
-        self.tokens += len(value) // 4
+        self.tokens += len(ids) // 4
 
     def _put(self, data: bytes) -> tuple[int, int]:
         self.out.write(data)
@@ -115,7 +118,7 @@ class ShardWriter:
         bits = np.zeros(size, np.uint8)
         bits[_bits(np.array(self.hashes, np.uint64), size).ravel().astype(np.int64)] = 1
         bloom = self._put(np.packbits(bits).tobytes())
-        self._put(_FOOTER.pack(*index, *bloom, self.n, self.tokens, 1, _MAGIC))
+        self._put(_FOOTER.pack(*index, *bloom, self.n, self.tokens, int(self.kind[2]), _MAGIC))
 
 
 class Shard:
@@ -124,9 +127,10 @@ class Shard:
     def __init__(self, file):
         self.file = file
         end = file.seek(0, 2)
-        index_at, index_n, bloom_at, bloom_n, self.n, self.tokens, version, magic = _FOOTER.unpack(self._at(end - _FOOTER.size, _FOOTER.size))
-        if magic != _MAGIC or version != 1:
+        index_at, index_n, bloom_at, bloom_n, self.n, self.tokens, wide, magic = _FOOTER.unpack(self._at(end - _FOOTER.size, _FOOTER.size))
+        if magic != _MAGIC or wide not in (2, 4):
             raise ValueError("not a token shard")
+        self.kind = f"<u{wide}"
         self.bloom = np.unpackbits(np.frombuffer(self._at(bloom_at, bloom_n), np.uint8))
         data, at, self.index = self._at(index_at, index_n), 0, []
         while at < len(data):
@@ -151,7 +155,7 @@ class Shard:
             size, at = _read(data, at)
             key = key[:shared] + data[at : at + rest]
             at += rest
-            yield key, data[at : at + size]
+            yield key, np.frombuffer(data, self.kind, size // int(self.kind[2]), at).astype("<u4").tobytes()
             at += size
 
     def __iter__(self) -> Iterator[tuple[bytes, bytes]]:
@@ -191,7 +195,7 @@ def _write(folder: str, path: str, end_id: int):
             if len(b) and file is None:
                 system.create_dir(base, recursive=True)
                 file = system.open_output_stream(own)
-                writer = ShardWriter(file)
+                writer = ShardWriter(file, 2 if max(end_id, encoder.most) < 1 << 16 else 4)
             for doc_id, ids in zip(b["doc_id"].to_pylist(), encoder.encode(b["body"].to_pylist()), strict=True):
                 writer.add(key_of(doc_id), ids + end)
         if file is not None:

@@ -16,8 +16,8 @@ from itertools import chain, filterfalse
 
 import numpy as np
 
-#: Words that a worker remembers; texts that are looked up together.
-BOUND, AT_ONCE = 400_000, 64
+#: Words of a generation, of which a worker remembers two; texts that are looked up together.
+BOUND, AT_ONCE = 350_000, 64
 _TAIL = re.compile(rb"(.*(?:[A-Za-z]|\xc3[\x9f-\xb6\xb8-\xbf]))([.,;:!?]+)", re.S)
 _PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 _LOADED: dict[str, WordEncoder] = {}
@@ -40,11 +40,15 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.bare = Tokenizer(self.tokenizer.model)
         self.bare.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
-        #: Whether an id closes a word.
-        self.closes = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        #: The greatest id, and whether an id closes a word.
+        self.most = max(self.tokenizer.get_vocab().values())
+        self.closes = np.zeros(self.most + 1, bool)
         self.closes[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.memo: dict[bytes, bytes] = {}
         self.parts: dict[bytes, bytes] = {}
+        #: The generation before: what is still asked for moves on into the present one.
+        self.old_memo: dict[bytes, bytes] = {}
+        self.old_parts: dict[bytes, bytes] = {}
 
     @classmethod
     def load(cls, path: str) -> WordEncoder:
@@ -69,18 +73,26 @@ class WordEncoder:
             for i, w in enumerate(some):
                 self.parts[w] = ids[edge[i] : edge[i + 1]].tobytes()
 
-    def learn(self, words: set[bytes]) -> None:
-        known, split, unknown = self.parts, [], set()
+    def learn(self, words: set[bytes], turn: bool = True) -> None:
+        """turn: whether a new generation may begin."""
+        if turn and len(self.memo) + len(words) > BOUND:
+            self.old_memo, self.memo = self.memo, {}
+            self.old_parts, self.parts = self.parts, {}
+        memo, known, split, unknown = self.memo, self.parts, [], set()
         for w in words:
+            if (ids := self.old_memo.get(w)) is not None:
+                memo[w] = ids
+                continue
             m = _TAIL.fullmatch(w) if w[-1] < 64 and b"'" not in w and b"<" not in w else None
             head, tail = m.groups() if m else (w, b"")
             split.append((w, head, tail))
-            if head not in known:
-                unknown.add(head)
-            if tail and tail not in known:
-                unknown.add(tail)
+            for p in (head, tail) if tail else (head,):
+                if p not in known:
+                    if (ids := self.old_parts.get(p)) is not None:
+                        known[p] = ids
+                    else:
+                        unknown.add(p)
         self._library(list(unknown))
-        memo = self.memo
         for w, head, tail in split:
             memo[w] = known[head] + known[tail] if tail else known[head]
 
@@ -97,12 +109,10 @@ class WordEncoder:
         out: list[bytes] = []
         for k in range(0, len(bodies), AT_ONCE):
             split = [(b if b"<|" in b else b.lower()).split() for b in bodies[k : k + AT_ONCE]]
-            new = set(filterfalse(self.memo.__contains__, chain.from_iterable(split)))
-            if len(self.memo) + len(new) > BOUND:
-                self.memo.clear()
-                self.parts.clear()
-                new = set(chain.from_iterable(split))
-            self.learn(new)
+            before = self.memo
+            self.learn(set(filterfalse(before.__contains__, chain.from_iterable(split))))
+            if self.memo is not before:  # a new generation: the words that were known have to move on
+                self.learn(set(filterfalse(self.memo.__contains__, chain.from_iterable(split))), turn=False)
             get = self.memo.__getitem__
             out += [b"".join(map(get, s)) for s in split]
         return out
