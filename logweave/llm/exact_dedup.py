@@ -21,7 +21,11 @@ from pyspark.sql import functions as F
 
 from logweave.llm._common import frozen, shared_dir
 
-STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: A state has a store for each shuffle partition: they take the disk that they fill, not some MB each in advance.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Digests that go to the executors whole; with more the hits are found by a join.
 BROADCAST_ROWS = 200_000
 
@@ -36,9 +40,9 @@ def stream_state(stream: DataFrame, folder: str) -> DataFrame:
     folder: where its checkpoint and its updates go. A later call with the same folder goes on from there.
     """
     spark = stream.sparkSession
-    own = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(own, None)
-    spark.conf.set(own, STORE)
+    before = {k: spark.conf.get(k, None) for k in STORE}
+    for k, v in STORE.items():
+        spark.conf.set(k, v)
     schema = "digest string, last struct<doc_id: bigint, locator: bigint>, group_size bigint"
     spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{folder}/updates/batch=-1")
     try:
@@ -52,10 +56,11 @@ def stream_state(stream: DataFrame, folder: str) -> DataFrame:
         )
         query.awaitTermination()
     finally:
-        if before is None:
-            spark.conf.unset(own)
-        else:
-            spark.conf.set(own, before)
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
     updates = spark.read.schema(schema).parquet(f"{folder}/updates")
     # the last update of a digest has all its rows, the greatest and the most
     return updates.groupBy("digest").agg(F.max("last").alias("last"), F.max("group_size").alias("group_size"))
