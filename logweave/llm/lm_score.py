@@ -2,11 +2,11 @@
 
 The model is a word bigram model, interpolated with add-one unigrams. Its counts c are kept as quantised levels
 1 + floor(log c / log ``LEVEL``): a filter holds the n-gram with each number from 1 up to its level, and a reader asks for
-1, 2, ... until the answer is no. The filter is cut into slices by n-gram, so executors build it and the driver only joins
-the slices; it goes to the workers as a broadcast of at most ``max_bytes``. Every unigram and every bigram that occurs
-``min_count`` times or more in the training texts is in it. While the bound is not reached an entry has ``BITS`` bits
-(about 1 % false answers); beyond, entries share what there is, and the share of false answers grows as
-(1 - exp(-k n / m)) ** k; nothing is left out.
+1, 2, ... until the answer is no. Every unigram and every bigram that occurs ``min_count`` times or more in the training
+texts is in it, with ``BITS`` bits for each entry at any size of the input (about 1 % false answers). Executors build it in
+slices by n-gram, as a table in the shared folder. A filter of at most ``max_bytes`` goes to the workers as a broadcast. A
+larger one stays where it is: each chunk of documents sends its distinct n-grams to their slices, which probe for them and
+send the levels back. Both ways ask the same bits, so they give the same scores.
 
 Exact counts for the base score are not looked up in the filter. Each chunk of documents sends its distinct words (64-bit
 hashes, with their training counts) to slices by word, which add them up and send them back, so neither a common word nor
@@ -23,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm._common import WordHashes, chunked, cuts, mix, session, shuffle_partitions
+from logweave.llm._common import WordHashes, chunked, cuts, frozen, mix, session, shuffle_partitions
 
 FOLDS, HELD_OUT = 7, 2
 LEVEL, BITS, PROBES = 1.5, 10, 5
-MAX_BYTES, MIN_COUNT, WEIGHT = 256 << 20, 2, 0.4
+MAX_BYTES, MIN_COUNT, WEIGHT = 128 << 20, 2, 0.4
 FLUSH = 2_000_000
 _HASHES = WordHashes()
 END = np.uint64(0x5851F42D4C957F2D)
@@ -72,10 +72,10 @@ def _places(key: np.ndarray, rank: np.ndarray | int, bits: np.ndarray | int) ->
     return [(low + np.uint64(i) * high) % m for i in range(PROBES)]
 
 
-def build(key: np.ndarray, count: np.ndarray, max_bits: int) -> bytes:
+def build(key: np.ndarray, count: np.ndarray) -> bytes:
     """One slice of the filter."""
     top = level(count) if len(count) else np.zeros(0, np.int64)
-    bits = max(64, min(int(top.sum()) * BITS, max_bits) // 8 * 8)
+    bits = max(64, int(top.sum()) * BITS // 8 * 8)
     out = np.zeros(bits // 8, np.uint8)
     rank = 1
     while len(key):
@@ -87,6 +87,9 @@ def build(key: np.ndarray, count: np.ndarray, max_bits: int) -> bytes:
     return out.tobytes()
 
 
+_EMPTY = build(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
 class LogFrequencyFilter:
     """The joined slices. ``levels`` probes a key's slice for rank 1, 2, ... until the first no."""
 
@@ -112,10 +115,11 @@ class LogFrequencyFilter:
         return out
 
     def words(self, h: np.ndarray) -> np.ndarray:
-        return estimate(self.levels(h, (h % np.uint64(self.slices)).astype(np.int64)))
+        """Levels of words; their hashes choose the slice."""
+        return self.levels(h, (h % np.uint64(self.slices)).astype(np.int64))
 
     def bigrams(self, key: np.ndarray) -> np.ndarray:
-        return estimate(self.levels((key >> np.uint64(32)) ^ _PAIR, (key % np.uint64(self.slices)).astype(np.int64)))
+        return self.levels((key >> np.uint64(32)) ^ _PAIR, (key % np.uint64(self.slices)).astype(np.int64))
 
 
 def _counted(x: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -128,13 +132,18 @@ def _counted(x: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarra
     return x[at[:-1]], np.diff(at) if weight is None else np.add.reduceat(weight[order], at[:-1])
 
 
+def _by_slice(key: np.ndarray, slices: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order that sorts keys by slice, and where each slice begins and ends in it."""
+    part = (key % np.uint64(slices)).astype(np.int32)
+    order = np.argsort(part, kind="stable")
+    return order, np.searchsorted(part[order], np.arange(slices + 1))
+
+
 def _grams(slices: int):
     schema = pa.schema([("slice", pa.int32()), ("words", pa.binary()), ("word_counts", pa.binary()), ("pairs", pa.binary()), ("pair_counts", pa.binary())])
 
     def split(key: np.ndarray, count: np.ndarray):
-        part = (key % np.uint64(slices)).astype(np.int32)
-        order = np.argsort(part, kind="stable")
-        at = np.searchsorted(part[order], np.arange(slices + 1))
+        order, at = _by_slice(key, slices)
         return key[order], count[order].astype(np.uint32), at
 
     def flush(held: list[np.ndarray]):
@@ -162,7 +171,7 @@ def _grams(slices: int):
     return grams
 
 
-def _slice(max_bits: int, min_count: int):
+def _slice(min_count: int):
     def one(table: pa.Table) -> pa.Table:
         def total(key: str, count: str, kind):
             x = np.concatenate([np.frombuffer(d, kind) for d in table[key].to_pylist()])
@@ -171,21 +180,24 @@ def _slice(max_bits: int, min_count: int):
         w, wc = total("words", "word_counts", np.uint64)
         p, pc = total("pairs", "pair_counts", np.uint32)
         ok = pc >= min_count
-        bits = build(np.concatenate((w, p[ok].astype(np.uint64) ^ _PAIR)), np.concatenate((wc, pc[ok])), max_bits)
+        bits = build(np.concatenate((w, p[ok].astype(np.uint64) ^ _PAIR)), np.concatenate((wc, pc[ok])))
         return pa.table([table["slice"][:1], pa.array([int(wc.sum())], pa.int64()), pa.array([len(w)], pa.int64()), pa.array([bits], pa.binary())], names=["slice", "n", "v", "bits"])
 
     return one
 
 
-def train(docs: DataFrame, max_bytes: int = MAX_BYTES, min_count: int = MIN_COUNT, text: str = "text") -> tuple[int, int, LogFrequencyFilter]:
-    """(N, V, filter) of all rows of docs. The driver gets one row for each slice, max_bytes at most in all."""
+def train(docs: DataFrame, min_count: int = MIN_COUNT, text: str = "text") -> DataFrame:
+    """The filter of all rows of docs, as a table in the shared folder: slice, n (tokens), v (distinct ones), bits."""
     spark = session(docs.sparkSession)
-    slices = shuffle_partitions(spark)
     bodies = docs.select(F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
-    grams = bodies.mapInArrow(_grams(slices), "slice int, words binary, word_counts binary, pairs binary, pair_counts binary")
-    parts = {r.slice: r for r in grams.groupBy("slice").applyInArrow(_slice(8 * max_bytes // slices, min_count), "slice int, n long, v long, bits binary").toLocalIterator()}
-    empty = build(np.zeros(0, np.uint64), np.zeros(0, np.int64), 64)
-    return sum(r.n for r in parts.values()), sum(r.v for r in parts.values()), LogFrequencyFilter([bytes(parts[s].bits) if s in parts else empty for s in range(slices)])
+    grams = bodies.mapInArrow(_grams(shuffle_partitions(spark)), "slice int, words binary, word_counts binary, pairs binary, pair_counts binary")
+    return frozen(grams.groupBy("slice").applyInArrow(_slice(min_count), "slice int, n long, v long, bits binary"), "lm-filter")
+
+
+def joined(filter: DataFrame, slices: int) -> LogFrequencyFilter:
+    """The whole filter in one process; for filters of a checked size."""
+    parts = {r.slice: bytes(r.bits) for r in filter.select("slice", "bits").toLocalIterator()}
+    return LogFrequencyFilter([parts.get(s, _EMPTY) for s in range(slices)])
 
 
 def _chunk(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -194,50 +206,80 @@ def _chunk(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return h, size, *np.unique(h, return_inverse=True)
 
 
-def _words(slices: int):
-    schema = pa.schema([("slice", pa.int32()), ("chunk", pa.int32()), ("words", pa.binary()), ("counts", pa.binary())])
+def _words(slices: int, routed: bool):
+    schema = pa.schema([("slice", pa.int32()), ("chunk", pa.int32()), ("words", pa.binary()), ("counts", pa.binary()), ("pairs", pa.binary())])
 
     def words(table: pa.Table) -> pa.Table:
-        _, size, u, at = _chunk(table)
+        h, size, u, at = _chunk(table)
         learns = ~np.asarray(table["held_out"].to_numpy(zero_copy_only=False), bool)
         count = np.bincount(at[np.repeat(learns, size)], minlength=len(u)).astype(np.uint32)
-        part = u % np.uint64(slices)
-        order = np.argsort(part, kind="stable")
-        edge = cuts(part[order])
-        rows = [(int(part[order[i]]), u[order[i:j]].tobytes(), count[order[i:j]].tobytes()) for i, j in zip(edge[:-1], edge[1:], strict=True)]
+        p = np.unique(pairs(h)) if routed else np.zeros(0, np.uint64)
+        order, edge = _by_slice(u, slices)
+        pair_order, pair_edge = _by_slice(p, slices)
+        u, count, p = u[order], count[order], (p[pair_order] >> np.uint64(32)).astype(np.uint32)
         c = table["chunk"][0].as_py()
-        return pa.table([pa.array([r[0] for r in rows], pa.int32()), pa.array([c] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], schema=schema)
+        some = np.flatnonzero((np.diff(edge) > 0) | (np.diff(pair_edge) > 0)).tolist()
+        rows = [(k, c, u[edge[k] : edge[k + 1]].tobytes(), count[edge[k] : edge[k + 1]].tobytes(), p[pair_edge[k] : pair_edge[k + 1]].tobytes()) for k in some]
+        return pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(schema)], schema=schema)
 
     return words
 
 
-def _totals(table: pa.Table) -> pa.Table:
+_ANSWERS = pa.schema([("chunk", pa.int32()), ("slice", pa.int32()), ("counts", pa.binary()), ("word_levels", pa.binary()), ("pair_levels", pa.binary())])
+
+
+def _totals(table: pa.Table, filter: pa.Table | None = None) -> pa.Table:
+    """Training counts of one slice's words, for each chunk that asks; with the slice's filter, levels of words and pairs."""
+    if not len(table):
+        return _ANSWERS.empty_table()
     words = [np.frombuffer(d, np.uint64) for d in table["words"].to_pylist()]
     counts = [np.frombuffer(d, np.uint32) for d in table["counts"].to_pylist()]
     u, at = np.unique(np.concatenate(words), return_inverse=True)
     total = np.bincount(at, weights=np.concatenate(counts), minlength=len(u)).astype(np.int64)
     ends = np.cumsum([len(w) for w in words])
-    return pa.table([table["chunk"], table["slice"], pa.array([total[at[e - len(w) : e]].tobytes() for e, w in zip(ends, words, strict=True)], pa.binary())], names=["chunk", "slice", "counts"])
+    said = [total[at[e - len(w) : e]].tobytes() for e, w in zip(ends, words, strict=True)]
+    word_levels = pair_levels = [b""] * len(words)
+    if filter is not None:
+        own = LogFrequencyFilter([filter["bits"][0].as_py() if len(filter) else _EMPTY])
+        ask = lambda key: own.levels(key, np.zeros(len(key), np.int64)).astype(np.uint8)
+        top = ask(u)
+        word_levels = [top[at[e - len(w) : e]].tobytes() for e, w in zip(ends, words, strict=True)]
+        pair_levels = [ask(np.frombuffer(d, np.uint32).astype(np.uint64) ^ _PAIR).tobytes() for d in table["pairs"].to_pylist()]
+    return pa.table([table["chunk"].combine_chunks(), table["slice"].combine_chunks(), pa.array(said, pa.binary()), pa.array(word_levels, pa.binary()), pa.array(pair_levels, pa.binary())], schema=_ANSWERS)
+
+
+def _routed_totals(table: pa.Table, filter: pa.Table) -> pa.Table:
+    return _totals(table, filter)
 
 
 def _scores(slices: int, n_train: int, v_train: int, model, weight: float):
+    """model: the filter's broadcast, or None where the slices have answered."""
+
     def scores(table: pa.Table, totals: pa.Table) -> pa.Table:
         h, size, u, at = _chunk(table)
-        part = (u % np.uint64(slices)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        said = dict(zip(totals["slice"].to_pylist(), totals["counts"].to_pylist(), strict=True))
-        c = np.empty(len(u), np.int64)
-        c[order] = np.frombuffer(b"".join(said[s] for s in np.unique(part).tolist()), np.int64)
+        said = totals.sort_by("slice")
+
+        def answers(column: str, key: np.ndarray, kind) -> np.ndarray:
+            out = np.empty(len(key), np.int64)
+            out[_by_slice(key, slices)[0]] = np.frombuffer(b"".join(said[column].to_pylist()), kind)
+            return out
+
+        c = answers("counts", u, np.int64)
+        key = pairs(h)
+        if model is not None:
+            one_level, two_level = model.value.words(u), model.value.bigrams(key)
+        else:
+            p, place = np.unique(key, return_inverse=True)
+            one_level, two_level = answers("word_levels", u, np.uint8), answers("pair_levels", p, np.uint8)[place]
         first = np.cumsum(size) - size
         sums = lambda x: np.add.reduceat(x, first) if len(first) else np.zeros(0)
         mass = n_train + v_train + 1
         base = sums(np.log10(c + 1.0)[at]) - size * np.log10(mass)
-        known = model.value
-        c1 = known.words(u)
+        c1 = estimate(one_level)
         one = (c1 + 1) / mass
         # the token before each one; END before a text's first, as every text ends in END
         before = c1[np.concatenate((np.searchsorted(u, [END]), at[:-1]))] if len(at) else np.zeros(0)
-        two = np.minimum(known.bigrams(pairs(h)), before) / np.maximum(before, 1)
+        two = np.minimum(estimate(two_level), before) / np.maximum(before, 1)
         p = np.where(before > 0, (1 - weight) * one[at] + weight * two, one[at])
         out = [table["doc_id"], table["held_out"], pa.array(size), pa.array(sums((c[at] > 0).astype(np.int64)).astype(np.int64)), pa.array(np.full(len(size), n_train, np.int64)), pa.array(base), pa.array(sums(np.log10(p)))]
         return pa.table(out, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
@@ -248,11 +290,18 @@ def _scores(slices: int, n_train: int, v_train: int, model, weight: float):
 def lm_scores(docs: DataFrame, max_bytes: int = MAX_BYTES, min_count: int = MIN_COUNT, weight: float = WEIGHT, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs."""
     spark = session(docs.sparkSession)
-    n, v, known = train(docs.where(~held_out(key)), max_bytes, min_count, text)
-    model = spark.sparkContext.broadcast(known)
     slices = shuffle_partitions(spark)
+    known = train(docs.where(~held_out(key)), min_count, text)
+    size = known.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v"), F.coalesce(F.sum(F.octet_length("bits")), F.lit(0)).alias("bytes")).first()
+    routed = size.bytes > max_bytes
     parts = chunked(docs, 4 * slices, key, text).withColumn("held_out", held_out("doc_id"))
-    words = parts.groupBy("chunk").applyInArrow(_words(slices), "slice int, chunk int, words binary, counts binary")
-    totals = words.groupBy("slice").applyInArrow(_totals, "chunk int, slice int, counts binary")
+    words = parts.groupBy("chunk").applyInArrow(_words(slices, routed), "slice int, chunk int, words binary, counts binary, pairs binary").groupBy("slice")
+    answers = "chunk int, slice int, counts binary, word_levels binary, pair_levels binary"
+    if routed:
+        totals = words.cogroup(known.select("slice", "bits").groupBy("slice")).applyInArrow(_routed_totals, answers)
+        model = None
+    else:
+        totals = words.applyInArrow(lambda table: _totals(table), answers)
+        model = spark.sparkContext.broadcast(joined(known, slices))
     out = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return parts.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(_scores(slices, n, v, model, weight), out)
+    return parts.groupBy("chunk").cogroup(totals.groupBy("chunk")).applyInArrow(_scores(slices, size.n, size.v, model, weight), out)

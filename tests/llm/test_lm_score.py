@@ -63,21 +63,33 @@ def test_score_is_near_exact_interpolation(spark):
 def test_filter_never_reads_less_and_rarely_more():
     rng = np.random.default_rng(1)
     key, count = rng.integers(1, 1 << 62, 5000).astype(np.uint64), rng.geometric(0.2, 5000)
-    f = LogFrequencyFilter([build(key, count, 1 << 30)])
+    f = LogFrequencyFilter([build(key, count)])
     got = f.levels(key, np.zeros(5000, np.int64))
     assert (got >= level(count)).all() and (got > level(count)).mean() < 0.03
     assert (f.levels(rng.integers(1, 1 << 62, 5000).astype(np.uint64), np.zeros(5000, np.int64)) > 0).mean() < 0.03
 
 
-def test_filter_keeps_its_bound():
-    key = np.arange(1, 5001, dtype=np.uint64)
-    data = build(key, np.ones(5000, np.int64), 8000)
-    assert len(data) == 1000
-    assert (LogFrequencyFilter([data]).levels(key, np.zeros(5000, np.int64)) >= 1).all()
+@pytest.mark.parametrize("n", [10, 5000, 80_000])
+def test_filter_keeps_its_bits_for_each_entry_at_any_size(n):
+    key = np.arange(1, n + 1, dtype=np.uint64)
+    data = build(key, np.ones(n, np.int64))
+    assert 8 * len(data) >= lm_score.BITS * n - 8
+    f = LogFrequencyFilter([data])
+    assert (f.levels(key, np.zeros(n, np.int64)) >= 1).all()
+    assert (f.levels(key + np.uint64(1 << 40), np.zeros(n, np.int64)) > 0).mean() < 0.03 + 1 / n
+
+
+def test_filter_too_large_for_a_broadcast_gives_the_same_scores(spark):
+    docs = documents(spark, [*texts(), None, "", "one"])
+    rows = lambda **how: sorted(tuple(r) for r in lm_scores(docs, **how).collect())
+    broadcast, routed = rows(), rows(max_bytes=0)
+    assert [r[:5] for r in routed] == [r[:5] for r in broadcast]
+    assert np.allclose([r[5:] for r in routed], [r[5:] for r in broadcast], rtol=1e-12)
 
 
 def test_empty_null_and_repeated_ids(spark):
     assert lm_scores(documents(spark).limit(0)).collect() == []
+    assert lm_scores(documents(spark).limit(0), max_bytes=-1).collect() == []
     rows = lm_scores(documents(spark, [None, "", "a b", "a b"], [None, 1, 1, 1])).collect()
     assert sorted(r.n_tokens for r in rows) == [1, 1, 3, 3]
     assert [r.held_out for r in rows if r.doc_id is None] == [False]
