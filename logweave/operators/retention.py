@@ -28,6 +28,15 @@ def protect(segments: DataFrame, offsets: DataFrame) -> DataFrame:
     return segments.join(least, "shard_id", "left").withColumn("protected", F.coalesce(last >= F.col("__least"), F.lit(False))).drop("__least")
 
 
+def guard_readers(segments: DataFrame, candidate: str, active_readers: int) -> DataFrame:
+    """segments with ``goes``: while there are readers, a shard's first and last file stay."""
+    ends = F.lit(False)
+    if active_readers > 0:
+        w = Window.partitionBy("shard_id")
+        ends = F.col("segment_id").isin(F.min("segment_id").over(w), F.max("segment_id").over(w))
+    return segments.withColumn("goes", F.col(candidate) & ~ends)
+
+
 def keep_least(segments: DataFrame, candidate: str, least: int) -> DataFrame:
     """segments with ``goes``: of a shard's candidates, oldest first, as many as leave ``least`` files besides the current one."""
     rank = F.sum(F.col(candidate).cast("int")).over(Window.partitionBy("shard_id").orderBy("segment_id").rowsBetween(Window.unboundedPreceding, 0))

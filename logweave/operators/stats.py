@@ -88,3 +88,11 @@ def batch_metrics(batches: DataFrame) -> DataFrame:
 
 def slot_stats(offsets: DataFrame) -> DataFrame:
     return offsets.groupBy("shard_id").agg(F.count_distinct("group").alias("used")).withColumn("total", F.lit(SLOTS))
+
+
+def group_stats(heads: DataFrame, segments: DataFrame, offsets: DataFrame) -> DataFrame:
+    """Per shard: head, files, and its groups in the order of their names, each with offset and lag."""
+    files = segments.groupBy("shard_id").agg(F.count(F.lit(1)).alias("files"))
+    own = offsets.join(heads.select("shard_id", "durable_entry"), "shard_id").withColumn("lag", F.col("durable_entry") - F.col("offset"))
+    groups = own.groupBy("shard_id").agg(F.array_sort(F.collect_list(F.struct("group", "offset", "lag"))).alias("groups"))
+    return heads.select("shard_id", "durable_entry").join(files, "shard_id", "left").join(groups, "shard_id", "left")

@@ -89,9 +89,13 @@ def oracle_sql() -> dict[str, str]:
         "slot_stats": "select shard_id, 2::bigint as used, 512 as total from heads",
         "state_validate": f"$state select shard_id, {_OK} as valid, 1 as version_now, if({_OK}, write_offset, 0) as write_offset_now, if({_OK}, last_entry, -1) as last_entry_now from state",
         "rebuild_needed": "select shard_id, (shard_id % 3 = 0 and n > 0) as needs_rebuild from heads",
+        "all_streams": "select printf('events:v1:%04d', i) as stream from range(16) t(i)",
         "stream_process": "select 'g' as \"group\", shard_id, n as \"offset\" from heads",
         "stream_dedup": "select shard_id, entry_number, event_id from log",
         "tumbling_counts": "select shard_id, date_trunc('hour', ts) as start, count(*) as n from log group by all",
+        "sliding_counts": "select shard_id, date_trunc('hour', ts) - to_hours(h) as start, count(*) as n from log, (values (0), (1)) t(h) group by all",
+        "session_counts": """select user_id, min(ts) as start, count(*) as n from (select *, sum(first) over (partition by user_id order by ts rows unbounded preceding) as session from (
+  select user_id, ts, coalesce(ts - lag(ts) over (partition by user_id order by ts) > interval 6 hours, true)::int as first from log)) group by user_id, session""",
     }
     seg = {
         "segment_assign": "select shard_id, entry_number, segment_id from fold",
@@ -105,6 +109,8 @@ def oracle_sql() -> dict[str, str]:
         "retention_stats": "select shard_id, sum(bytes)::bigint as bytes, count(*) as files, min(start_time) as oldest, max(end_time) as newest from seg group by rollup (shard_id)",
         "retain_age": f"select shard_id, segment_id, old, forced from ({_BY_AGE})",
         "retain_protect": 'select shard_id, segment_id, start_entry + entries - 1 >= (select min("offset") from off where off.shard_id = seg.shard_id) as protected from seg',
+        "group_stats": 'select h.shard_id, h.n as durable_entry, files, "group", "offset", h.n - "offset" as lag from heads h join (select shard_id, count(*) as files from seg group by 1) using (shard_id) join off using (shard_id)',
+        "retain_reader_guard": f"select shard_id, segment_id, old and segment_id not in (lo, hi) as goes from (select *, min(segment_id) over (partition by shard_id) as lo, max(segment_id) over (partition by shard_id) as hi from ({_BY_AGE}))",
         "retain_min_files": f"select shard_id, segment_id, old and rank <= greatest(others - 2, 0) as goes from (select shard_id, segment_id, old, sum(old::int) over (partition by shard_id order by segment_id) as rank, count(*) over (partition by shard_id) - 1 as others from ({_BY_AGE}))",
         "retain_shard_size": f"select shard_id, segment_id, goes from ({_SHARD_SIZE})",
         "retain_global_size": "select shard_id, segment_id, not is_current and total - before > 200000 as goes from (select *, sum(bytes) over () as total, coalesce(sum(if(is_current, 0, bytes)) over (order by end_time, shard_id, segment_id rows between unbounded preceding and 1 preceding), 0) as before from man)",

@@ -275,6 +275,15 @@ def batch_metrics(spark, d):
     return stats.batch_metrics(log(spark, d).select("shard_id", F.floor(F.col("event_id") / 64).alias("batch_id"), F.length("payload").cast("long").alias("latency")))
 
 
+def group_stats(spark, d):
+    rows = stats.group_stats(heads(spark, d), files(spark, d), group_offsets(spark, d)).withColumn("g", F.explode("groups"))
+    return rows.select("shard_id", "durable_entry", "files", F.col("g.group").alias("group"), F.col("g.offset").alias("offset"), F.col("g.lag").alias("lag"))
+
+
+def all_streams(spark, d):
+    return spark.range(SHARDS).select(routing.stream_name("events:v1", F.col("id")).alias("stream"))
+
+
 def slot_stats(spark, d):
     return stats.slot_stats(group_offsets(spark, d))
 
@@ -287,6 +296,10 @@ def retain_protect(spark, d):
     return retention.protect(files(spark, d), group_offsets(spark, d)).select("shard_id", "segment_id", "protected")
 
 
+def retain_reader_guard(spark, d):
+    return retention.guard_readers(retention.by_age(files(spark, d), now(spark, d), 10 * 86400), "old", 1).select("shard_id", "segment_id", "goes")
+
+
 def retain_min_files(spark, d):
     old = retention.by_age(files(spark, d), now(spark, d), 10 * 86400)
     return retention.keep_least(old, "old", 2).select("shard_id", "segment_id", "goes")
@@ -359,13 +372,21 @@ def tumbling_counts(spark, d):
     return log(spark, d).groupBy("shard_id", F.window("ts", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n")).select("shard_id", F.col("w.start").alias("start"), "n")
 
 
+def sliding_counts(spark, d):
+    return log(spark, d).groupBy("shard_id", F.window("ts", "2 hours", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n")).select("shard_id", F.col("w.start").alias("start"), "n")
+
+
+def session_counts(spark, d):
+    return log(spark, d).groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("start")).select("user_id", "start", "n")
+
+
 _QUERIES: list[Query] = [
     route_shard, stream_name, parse_stream, owned_shards, route_owned, append_ids, message_id_roundtrip, shard_len, durable_heads, list_recent, scan_all, scan_limit, point_lookup,
     read_batch, read_from_offset, read_quota, discover_assign, assignment_coverage, ack_cumulative, ack_range, reset_offset_neg, offset_upsert, ack_gap, offset_progress,
     consumer_lag, lag_summary, dedup_filter, dedup_evict, segment_assign, byte_offsets, segment_manifest, locate_entry, sparse_index, asof_position, index_prune,
-    compress_class, compress_ratio, shard_stats, client_stats, retention_stats, shard_diagnostics, unhealthy_shards, health, error_rate, batch_metrics, slot_stats,
-    retain_age, retain_protect, retain_min_files, retain_shard_size, retain_global_size, retain_apply, rebuild_index, state_validate, rebuild_needed,
-    stream_process, stream_dedup, tumbling_counts,
+    compress_class, compress_ratio, shard_stats, client_stats, retention_stats, shard_diagnostics, unhealthy_shards, health, error_rate, batch_metrics, group_stats, all_streams, slot_stats,
+    retain_age, retain_protect, retain_reader_guard, retain_min_files, retain_shard_size, retain_global_size, retain_apply, rebuild_index, state_validate, rebuild_needed,
+    stream_process, stream_dedup, tumbling_counts, sliding_counts, session_counts,
 ]
 
 
