@@ -62,11 +62,15 @@ def by_total_size(segments: DataFrame, most: int) -> DataFrame:
     """
     second = F.unix_timestamp(F.col("end_time").cast("timestamp"))
     files = segments.withColumn("__second", second).withColumn("__size", F.when(F.col("is_current"), 0).otherwise(F.col("bytes")))
-    sums = files.groupBy("__second").agg(F.sum("__size").alias("__sum"))
-    earlier = sums.select("__second", F.coalesce(F.sum("__sum").over(Window.orderBy("__second").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__earlier"))
-    total = segments.agg(F.sum("bytes").alias("__total"))
+    sums = files.groupBy("__second").agg(F.sum("__size").alias("__sum"), F.sum("bytes").alias("__bytes"))
+    by_second = Window.orderBy("__second")
+    earlier = sums.select(
+        "__second",
+        F.coalesce(F.sum("__sum").over(by_second.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__earlier"),
+        F.sum("__bytes").over(by_second.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("__total"),
+    )
     within = Window.partitionBy("__second").orderBy("end_time", "shard_id", "segment_id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = files.withColumn("__within", F.coalesce(F.sum("__size").over(within), F.lit(0))).join(earlier, "__second").crossJoin(F.broadcast(total))
+    placed = files.withColumn("__within", F.coalesce(F.sum("__size").over(within), F.lit(0))).join(earlier, "__second")
     goes = ~F.col("is_current") & (F.col("__total") - F.col("__earlier") - F.col("__within") > most)
     return placed.withColumn("goes", goes).drop("__second", "__size", "__within", "__earlier", "__total")
 
