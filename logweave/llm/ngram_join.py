@@ -8,17 +8,21 @@ The matrix has a row for each distinct set of word n-grams (copies share one) an
    goes. The rest get a prefix of their rarest columns: two rows that link share a column within both prefixes.
 3. *Candidate groups.* Rows are connected through their prefixes' columns (each row with the column's least row, never
    pair by pair), so that all rows that may link are in one group, and each row in one only.
-4. *Product.* Groups are cut into blocks of at most ``BLOCK`` rows. A task has two blocks and accumulates the overlap
-   counts of one row with all others from the columns' lists; it discards pairs whose sizes exclude the threshold and
-   returns a spanning forest of its links, never the pairs.
+4. *Product.* Groups are cut into blocks of about ``BLOCK`` rows. A task accumulates the overlap counts of one row with
+   the others from the columns' lists, or from the others' own entries where that is less; it discards pairs whose sizes
+   exclude the threshold, and returns which classes its links join, never the pairs. Two rows that are joined already need
+   no product. The first pass has one task for each block, which also gets the group's ``PIVOTS``: rows that all its
+   blocks have in common, so near copies in different blocks become one class. For groups of several blocks, a second
+   pass has the pairs of blocks that are left: blocks are cut anew from rows of one large class, or of small ones, and of
+   one band of sizes. Two blocks of the same class, or of bands that are not neighbours, don't meet.
 5. *Classes.* Connected components of those forests; each document gets the least doc_id of its component.
 
 Sets are known by 64-bit hashes: among N different ones two agree with a chance of N * N / 2**65. N-grams are known by their
 slice and 48 further bits: two texts of n n-grams each get one too many in common with a chance of n * n / 2**48 / slices.
 
-A common n-gram makes one list in step 1, packed by the chunk that sends it, and one star in step 3. A group that holds a
-share of all rows costs a product of that share's square, in parallel blocks; its rows are copied once for each of its
-blocks.
+A common n-gram makes one list in step 1, packed by the chunk that sends it, and one star in step 3. A class of near copies
+that holds a share of all rows costs a product of its rows with the others of its group, not with each other. Rows of one
+group that don't link, but have rare n-grams and sizes alike, cost a product of their number's square, in parallel blocks.
 
 Null texts and texts without words have an empty set and link with nothing. Rows with equal ids are judged by their own
 text and get the component of their text; other columns are not read.
@@ -34,7 +38,7 @@ from pyspark.sql import functions as F
 from logweave.llm._common import WordHashes, cuts, frozen, mix, session, shuffle_partitions
 from logweave.llm.components import components
 
-WORDS, THRESHOLD, BLOCK = 5, 75, 2048
+WORDS, THRESHOLD, BLOCK, PIVOTS = 5, 75, 2048, 8
 #: Entries that a task gathers before it sends them.
 FLUSH = 1_500_000
 _HASHES = WordHashes()
@@ -210,45 +214,92 @@ def _rows(threshold: int):
     return rows
 
 
+_EDGES = "a long, b long"
+
+
 def _product(threshold: int):
     def product(table: pa.Table) -> pa.Table:
-        cls = np.asarray(table["cls"].to_numpy(), np.int64)
+        """(a, b) for each two classes that a link joins; with ``cross``, by pairs of rows of different sides only."""
         size = np.asarray(table["size"].to_numpy(), np.int64)
-        block = np.asarray(table["block"].to_numpy(), np.int64)
-        grams = [np.frombuffer(x, np.uint64) for x in table["grams"].to_pylist()]
-        order = np.lexsort((cls, size))
-        cls, size, block, grams = cls[order], size[order], block[order], [grams[i] for i in order]
-        n = len(cls)
-        row = np.repeat(np.arange(n), [len(x) for x in grams])
+        order = np.lexsort((table["cls"].to_numpy(), size))
+        size, side = size[order], np.asarray(table["side"].to_numpy(), np.int64)[order]
+        names, label = np.unique(table["label"].to_numpy(), return_inverse=True)
+        label, cross = label[order], table["cross"][0].as_py()
+        grams = table["grams"].to_pylist()
+        grams = [np.frombuffer(grams[i], np.uint64) for i in order.tolist()]
+        n, length = len(grams), np.fromiter(map(len, grams), np.int64, len(grams))
         _, col = np.unique(np.concatenate(grams), return_inverse=True)
-        begin = np.concatenate(([0], np.cumsum([len(x) for x in grams])))
-        by_col = np.argsort(col, kind="stable")
-        lists = row[by_col]
+        begin = np.concatenate(([0], np.cumsum(length)))
+        lists = np.repeat(np.arange(n), length)[np.argsort(col, kind="stable")]
         first = np.concatenate(([0], np.cumsum(np.bincount(col))))
-        two = int(table["i"][0].as_py()) != int(table["j"][0].as_py())
-        label = np.arange(n)
+        mark = np.zeros(len(first), np.int64)
         # sizes ascend, so the rows that may link with row k and come after it end at this place
-        end = np.searchsorted(size, size * 100 // threshold, "right")
+        end = np.searchsorted(size, size * 100 // threshold, "right").tolist()
+        a, b = [], []
         for k in range(n):
-            if end[k] <= k + 1:
+            apart = label[k + 1 : end[k]] != label[k]
+            if cross:
+                apart &= side[k + 1 : end[k]] != side[k]
+            rest = np.flatnonzero(apart) + k + 1
+            if not len(rest):
                 continue
             own = col[begin[k] : begin[k + 1]]
-            count = np.bincount(np.concatenate([lists[first[c] : first[c + 1]] for c in own.tolist()]), minlength=n)[k + 1 : end[k]]
-            union = size[k] + size[k + 1 : end[k]] - count
-            hit = 100 * count >= threshold * union
-            if two:
-                hit &= block[k + 1 : end[k]] != block[k]
-            others = np.unique(label[k + 1 : end[k]][hit])
-            others = others[others != label[k]]
+            if length[rest].sum() < (first[own + 1] - first[own]).sum():
+                mark[own] = 1
+                theirs = mark[np.concatenate([col[begin[r] : begin[r + 1]] for r in rest.tolist()])]
+                count = np.add.reduceat(theirs, np.cumsum(length[rest]) - length[rest])
+                mark[own] = 0
+            else:
+                count = np.bincount(np.concatenate([lists[first[c] : first[c + 1]] for c in own.tolist()]), minlength=n)[rest]
+            hit = 100 * count >= threshold * (size[k] + size[rest] - count)
+            others = np.unique(label[rest[hit]])
             if len(others):
-                least = min(int(others[0]), int(label[k]))
-                label[np.isin(label, np.append(others, label[k]))] = least
-        linked = label != np.arange(n)
-        return pa.table([pa.array(cls[linked]), pa.array(cls[label[linked]])], names=["a", "b"])
+                a += [int(names[label[k]])] * len(others)
+                b += names[others].tolist()
+                label[np.isin(label, others)] = label[k]
+        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return product
 
 
+def _first_pass(rows: DataFrame, groups: DataFrame, sizes: DataFrame, threshold: int) -> DataFrame:
+    """Links within the blocks of each group, which have the group's pivots in common."""
+    own = F.array(F.pmod(F.xxhash64("node"), F.col("blocks")))
+    everywhere = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
+    placed = groups.join(sizes, "root").select("node", "root", F.when(F.array_contains("pivots", F.col("node")), everywhere).otherwise(own).alias("at"))
+    dealt = rows.join(placed, F.col("cls") == F.col("node")).select(
+        "root", F.explode("at").alias("block"), "cls", F.col("cls").alias("label"), "size", F.lit(0).alias("side"), F.lit(False).alias("cross"), "grams"
+    )
+    return dealt.groupBy("root", "block").applyInArrow(_product(threshold), _EDGES)
+
+
+def _second_pass(rows: DataFrame, groups: DataFrame, sizes: DataFrame, linked: DataFrame, threshold: int) -> DataFrame:
+    """Links between classes that the first pass has left apart, in groups of several blocks."""
+    # a little wider than the bound of sizes that may link, so that rounding can't part two such sizes by more than a band
+    band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100 / threshold * (1 + 1e-6)))).alias("band")
+    members = groups.join(sizes.where("blocks > 1").select("root"), "root").select("node", F.col("root").alias("grp"))
+    labels = linked.select("node", F.col("root").alias("label"))
+    members = members.join(labels, "node", "left").select("node", "grp", F.coalesce("label", "node").alias("label"))
+    members = members.join(rows.select(F.col("cls").alias("node"), band), "node")
+    large = members.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= BLOCK).select("label", F.col("label").alias("pure"))
+    unit = F.concat_ws(".", "grp", F.coalesce(F.col("pure").cast("string"), F.lit("mixed")), "band").alias("unit")
+    members = members.join(large, "label", "left").select("node", "grp", "label", "pure", "band", unit)
+    units = members.groupBy("unit", "grp", "pure", "band").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("blocks"))
+    name = lambda slot: F.concat_ws(".", "unit", slot)
+    blocks = units.select("grp", "pure", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("slot"), "unit").select("grp", "pure", "band", name("slot").alias("i"))
+    above = blocks.select("grp", F.col("pure").alias("other"), F.col("band").alias("top"), F.col("band").alias("meet"), F.col("i").alias("j"))
+    pairs = (
+        blocks.withColumn("meet", F.explode(F.array("band", F.col("band") + 1)))
+        .join(above, ["grp", "meet"])
+        .where("(band < top or i <= j) and not coalesce(pure = other, false)")
+        .select("i", "j", (F.col("i") != F.col("j")).alias("cross"))
+    )
+    sides = pairs.select(F.col("i").alias("block"), F.lit(0).alias("side"), "i", "j", "cross").unionByName(pairs.where("cross").select(F.col("j").alias("block"), F.lit(1).alias("side"), "i", "j", "cross"))
+    placed = members.join(units.select("unit", "blocks"), "unit").select("node", "label", name(F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("block"))
+    dealt = rows.join(placed.join(sides, "block"), F.col("cls") == F.col("node")).select("i", "j", "cls", "label", "size", "side", "cross", "grams")
+    return dealt.groupBy("i", "j").applyInArrow(_product(threshold), _EDGES)
+
+
 def ngram_components(docs: DataFrame, words: int = WORDS, threshold: int = THRESHOLD, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs; ``threshold`` is the least Jaccard similarity in percent."""
     spark = session(docs.sparkSession)
@@ -264,16 +315,14 @@ def ngram_components(docs: DataFrame, words: int = WORDS, threshold: int = THRES
     stars = prefixes.groupBy("gram").agg(F.min("cls").alias("star"), F.count(F.lit(1)).alias("n")).where("n > 1")
     groups = components(prefixes.join(stars, "gram").where("cls <> star").select("cls", "star").distinct(), "cls", "star", "groups")
 
-    grouped = rows.select("cls", "size", "grams").join(groups, F.col("cls") == F.col("node")).drop("node")
-    blocks = groups.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("blocks"))
-    dealt = (
-        grouped.join(blocks, "root")
-        .withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
-        .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        .select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "cls", "size", "block", "grams")
-    )
-    forest = dealt.groupBy("root", "i", "j").applyInArrow(_product(threshold), "a long, b long")
-    linked = components(forest, "a", "b", "links")
+    blocks = F.ceil(F.count(F.lit(1)) / F.lit(BLOCK))
+    pivots = F.array_distinct(F.array(*(F.min_by("node", F.xxhash64(F.lit(k), F.col("node"))) for k in range(PIVOTS))))
+    sizes = groups.groupBy("root").agg(blocks.alias("blocks"), pivots.alias("pivots"))
+    entries_of = rows.select("cls", "size", "grams")
+    linked = components(_first_pass(entries_of, groups, sizes, threshold), "a", "b", "links")
+    if not sizes.where("blocks > 1").isEmpty():
+        further = _second_pass(entries_of, groups, sizes, linked, threshold)
+        linked = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(further), "a", "b", "links")
 
     least = members.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
     named = least.join(linked, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("root", "cls").alias("root"), "least")

@@ -60,6 +60,17 @@ def test_equals_brute_force(spark, monkeypatch, block):
     assert got(ngram_components(documents(spark, bodies))) == brute(list(enumerate(bodies)))
 
 
+def test_large_classes_of_several_sizes(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 12)
+    monkeypatch.setattr(ngram_join, "PIVOTS", 2)
+    whole = [t.split() for t in near(11, 60)]
+    # halves and three quarters share rare n-grams with the whole texts, so all are one group of several classes
+    bodies = [" ".join(w[: len(w) * (2 + k % 3) // 4]) for k, w in enumerate(whole)] + near(12, 20)
+    want = brute(list(enumerate(bodies)))
+    assert len({r[2] for r in want}) > 3
+    assert got(ngram_components(documents(spark, bodies))) == want
+
+
 def test_ids_in_any_order_and_negative(spark):
     bodies = near(9, 30) + texts(2, 20)
     ids = [-(53 * i) % 83 - 40 for i in range(len(bodies))]
