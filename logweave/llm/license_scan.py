@@ -2,9 +2,9 @@
 
 A block is what surrounds a cue word: its line, or ``REACH`` characters to either side of it in a longer line. Each block is
 compressed by itself and with each template as a raw zstandard dictionary. The templates are ranked by the share of bytes
-that they save; those that save ``LEAST_SAVING`` or more are confirmed in this order by their wording: the template's words
-are aligned with the block's, and it holds if no more than one word in ``WORDS_FOR_ONE`` differs (none in a shorter one) and
-no number in it does. A block has one licence at most, the first that holds.
+that they save and confirmed in this order by their wording, however little they save, as a notice may be a small part of its
+block: the template's words are aligned with the block's, and it holds if no more than one word in ``WORDS_FOR_ONE`` differs
+(none in a shorter one) and no number in it does. A block has one licence at most, the first that holds.
 
 Texts without a cue never leave the JVM. Null texts have no block. The result has a row for each row of docs, whatever its
 id; other columns are not read.
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from logweave.llm._common import session
 
-REACH, LEAST_SAVING, WORDS_FOR_ONE = 400, 0.2, 15
+REACH, WORDS_FOR_ONE = 400, 15
 CUE = r"(?i)licen[sc]e|spdx|copyright|hereby granted|redistribution and use|public domain"
 #: What texts say of their licence.
 TEMPLATES = (
@@ -91,14 +91,22 @@ class Templates:
         alone = len(self.plain.compress(data))
         return sorted(((1 - len(c.compress(data)) / alone, k) for k, c in enumerate(self.given)), key=lambda x: (-x[0], x[1]))
 
+    def holds(self, k: int, words: list[str], known: set[str]) -> int | None:
+        """How many words differ if template k holds among the words (known: the distinct ones), else None."""
+        most = len(self.words[k]) // WORDS_FOR_ONE
+        # each word of the template that the block doesn't have costs one edit at least
+        if sum(w not in known for w in self.words[k]) > most:
+            return None
+        d, numbers = differences(self.words[k], words)
+        return d if numbers and d <= most else None
+
     def judge(self, block: str) -> tuple[str | None, float, int]:
         """Licence, saving and differing words; without a licence those of the template that saves the most."""
         ranked, words = self.ranked(block), _WORD.findall(block.lower())
+        known = set(words)
         for saving, k in ranked:
-            if saving < LEAST_SAVING:
-                break
-            d, numbers = differences(self.words[k], words)
-            if numbers and d <= len(self.words[k]) // WORDS_FOR_ONE:
+            d = self.holds(k, words, known)
+            if d is not None:
                 return self.names[k], saving, d
         saving, k = ranked[0]
         return None, saving, differences(self.words[k], words)[0]

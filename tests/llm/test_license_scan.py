@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from logweave.llm.license_scan import TEMPLATES, Templates, blocks, differences, license_scan
@@ -40,6 +42,16 @@ def test_other_versions_and_other_words_do_not_hold():
     assert t.judge("you need a driving license to park here")[0] is None
 
 
+@pytest.mark.parametrize("length", [300, 500, 800])
+def test_verbatim_notices_in_long_varied_lines_hold(length):
+    rng, t = random.Random(length), Templates()
+    word = lambda: "".join(rng.choice("abcdefghijklmnoprstuvw") for _ in range(rng.randint(2, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n // 6))
+    for name, text in TEMPLATES:
+        (block,) = blocks(f"{prose(length // 2)} {text}. {prose(length // 2)}")
+        assert t.judge(block)[0] == name
+
+
 def test_blocks():
     assert blocks("a\nMIT License here\nb") == ["MIT License here"]
     long = "w " * 1000 + "license " + "v " * 1000
