@@ -4,7 +4,11 @@ A block is what surrounds a cue word: its line, or ``REACH`` characters to eithe
 compressed by itself and with each template as a raw zstandard dictionary. The templates are ranked by the share of bytes
 that they save and confirmed in this order by their wording, however little they save, as a notice may be a small part of its
 block: the template's words are aligned with the block's, and it holds if no more than one word in ``WORDS_FOR_ONE`` differs
-(none in a shorter one) and no number in it does. A block has one licence at most, the first that holds.
+(none in a shorter one) and no number in it does. A block's saving is that of the first template that holds.
+
+Notices may be wrapped and may stand side by side, so a text's licences are not read from its blocks alone: around each cue
+as many words as the longest template may have are taken to either side, across lines, and every template that holds among
+them counts. Runs of words that overlap are one. n_differences has for each run and licence the least number of words.
 
 Texts without a cue never leave the JVM. Null texts have no block. The result has a row for each row of docs, whatever its
 id; other columns are not read.
@@ -13,6 +17,7 @@ id; other columns are not read.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -24,7 +29,7 @@ from pyspark.sql import functions as F
 from logweave.llm._common import session
 
 REACH, WORDS_FOR_ONE = 400, 15
-CUE = r"(?i)licen[sc]e|spdx|copyright|hereby granted|redistribution and use|public domain"
+CUE = r"(?i)licen[sc]e|spdx|copyright|hereby[\W_]+granted|redistribution[\W_]+and[\W_]+use|public[\W_]+domain"
 #: What texts say of their licence.
 TEMPLATES = (
     ("GPL-3.0", "licensed under the GNU General Public License, version 3"),
@@ -61,6 +66,22 @@ def blocks(text: str) -> list[str]:
     return [text[a:b] for a, b in spans]
 
 
+def runs(text: str, reach: int) -> list[list[str]]:
+    """The words of the lower-cased text that are at most ``reach`` words from a cue."""
+    low = text.lower()
+    found = list(_WORD.finditer(low))
+    begins, ends = [m.start() for m in found], [m.end() for m in found]
+    spans: list[list[int]] = []
+    for m in re.finditer(CUE, low):
+        # the words that the cue has a part of
+        a, b = max(bisect_right(ends, m.start()) - reach, 0), bisect_left(begins, m.end()) + reach
+        if spans and a <= spans[-1][1]:
+            spans[-1][1] = max(spans[-1][1], b)
+        else:
+            spans.append([a, b])
+    return [[m.group() for m in found[a:b]] for a, b in spans]
+
+
 def differences(template: list[str], block: list[str]) -> tuple[int, bool]:
     """The least number of word edits from the template to any run of the block's words, and whether all its numbers stay."""
     if not template:
@@ -82,6 +103,8 @@ class Templates:
     def __init__(self, templates=TEMPLATES):
         self.names = [n for n, _ in templates]
         self.words = [_WORD.findall(t.lower()) for _, t in templates]
+        #: words of the longest run that a template may hold in
+        self.reach = max((len(w) + len(w) // WORDS_FOR_ONE for w in self.words), default=0)
         self.plain = zstandard.ZstdCompressor(level=9)
         self.given = [zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, t in templates]
 
@@ -111,6 +134,15 @@ class Templates:
         saving, k = ranked[0]
         return None, saving, differences(self.words[k], words)[0]
 
+    def licenses(self, words: list[str]) -> dict[str, int]:
+        """Every licence that holds among the words, and how many words differ."""
+        known, out = set(words), {}
+        for k, name in enumerate(self.names):
+            d = self.holds(k, words, known)
+            if d is not None:
+                out[name] = min(d, out.get(name, d))
+        return out
+
 
 @lru_cache(2)
 def _loaded(templates) -> Templates:
@@ -124,12 +156,13 @@ def _judged(templates, block: str):
 
 def _scan(templates):
     def scan(batches):
+        loaded = _loaded(templates)
         for b in batches:
             rows = []
             for text in b["text"].to_pylist():
                 own = blocks(text) if text else []
-                found = [_judged(templates, x) for x in own]
-                rows.append((len(own), sorted({n for n, _, _ in found if n}), max((s for _, s, _ in found), default=None), sum(d for n, _, d in found if n)))
+                found = [loaded.licenses(words) for words in runs(text, loaded.reach)] if own else []
+                rows.append((len(own), sorted({n for x in found for n in x}), max((_judged(templates, x)[1] for x in own), default=None), sum(d for x in found for d in x.values())))
             n, names, saving, differ = zip(*rows, strict=True) if rows else ((), (), (), ())
             yield pa.record_batch([b["doc_id"], pa.array(n, pa.int64()), pa.array([",".join(x) or None for x in names], pa.string()), pa.array(saving, pa.float64()), pa.array(differ, pa.int64())], names=["doc_id", "n_blocks", "licenses", "best_saving", "n_differences"])
 

@@ -1,10 +1,11 @@
 from __future__ import annotations
 
 import random
+import textwrap
 
 import pytest
 
-from logweave.llm.license_scan import TEMPLATES, Templates, blocks, differences, license_scan
+from logweave.llm.license_scan import TEMPLATES, Templates, blocks, differences, license_scan, runs
 from tests.llm.fixtures import documents
 
 
@@ -66,3 +67,20 @@ def test_table(spark):
     assert rows[3] == (1, "GPL-3.0")
     assert rows[4][0] == 1 and rows[5] == (2, "CC-BY-NC-4.0,MIT") and rows[6] == (1, "MIT")
     assert license_scan(documents(spark).limit(0)).collect() == []
+
+
+def test_wrapped_and_dual_notices(spark):
+    long = {name: text for name, text in TEMPLATES if len(text) > 100}
+    wrapped = [textwrap.fill(f"Some words before. {text}. Some words after.", 40, initial_indent=" * ", subsequent_indent=" * ") for text in long.values()]
+    every = [f"A first line.\n{text.replace(' ', chr(10))}\nA last line." for _, text in TEMPLATES]
+    bodies = ["Licensed under the Apache License,\nVersion 2.0", "Licensed under the Apache License,\nVersion 3.0", "Released under the MIT License. Licensed under CC BY-NC 4.0.", "Released under the MIT License. " + "word " * 30 + "Licensed under CC BY-NC 4.0. " + "word " * 900 + "licensed under\nCC BY 4.0", *wrapped, *every]
+    got = [r.licenses for r in license_scan(documents(spark, bodies)).orderBy("doc_id").collect()]
+    assert got[:4] == ["Apache-2.0", None, "CC-BY-NC-4.0,MIT", "CC-BY-4.0,CC-BY-NC-4.0,MIT"]
+    assert got[4:] == [*long, *(name for name, _ in TEMPLATES)]
+
+
+def test_runs_reach_as_many_words_as_the_longest_template():
+    text = " ".join(f"a{i}" for i in range(50)) + "\n\n   License " + "\n".join(f"b{i}" for i in range(50))
+    assert runs(text, 2) == [["a48", "a49", "license", "b0", "b1"]]
+    assert runs("x license y z license w", 2) == [["x", "license", "y", "z", "license", "w"]] and runs("x sublicensed y", 1) == [["x", "sublicensed", "y"]]
+    assert runs("nothing", 3) == runs("", 3) == []
