@@ -2,8 +2,8 @@
 
 The model is a word bigram model, interpolated with add-one unigrams. Its counts c are kept as quantised levels
 1 + floor(log c / log ``LEVEL``): a filter holds the n-gram with each number from 1 up to its level, and a reader asks for
-1, 2, ... until the answer is no. Every unigram and every bigram that occurs ``min_count`` times or more in the training
-texts is in it, with ``BITS`` bits for each entry at any size of the input (about 1 % false answers). Executors build it in
+1, 2, ... until the answer is no. Every unigram and every bigram of the training texts is in it (a caller may ask for a
+``min_count``), with ``BITS`` bits for each entry at any size of the input (about 1 % false answers). Executors build it in
 slices by n-gram, as a table in the shared folder. A filter of at most ``max_bytes`` goes to the workers as a broadcast. A
 larger one stays where it is: each chunk of documents sends its distinct n-grams to their slices, which probe for them and
 send the levels back. Both ways ask the same bits, so they give the same scores.
@@ -27,7 +27,7 @@ from logweave.llm._common import WordHashes, chunked, cuts, frozen, mix, session
 
 FOLDS, HELD_OUT = 7, 2
 LEVEL, BITS, PROBES = 1.5, 10, 5
-MAX_BYTES, MIN_COUNT, WEIGHT = 128 << 20, 2, 0.4
+MAX_BYTES, MIN_COUNT, WEIGHT = 128 << 20, 1, 0.4
 FLUSH = 2_000_000
 _HASHES = WordHashes()
 END = np.uint64(0x5851F42D4C957F2D)
@@ -76,15 +76,15 @@ def build(key: np.ndarray, count: np.ndarray) -> bytes:
     """One slice of the filter."""
     top = level(count) if len(count) else np.zeros(0, np.int64)
     bits = max(64, int(top.sum()) * BITS // 8 * 8)
-    out = np.zeros(bits // 8, np.uint8)
+    out = np.zeros(bits, bool)
     rank = 1
     while len(key):
         for p in _places(key, rank, bits):
-            np.bitwise_or.at(out, (p >> np.uint64(3)).astype(np.int64), np.uint8(1) << (p & np.uint64(7)).astype(np.uint8))
+            out[p.astype(np.int64)] = True
         rank += 1
         ok = top >= rank
         key, top = key[ok], top[ok]
-    return out.tobytes()
+    return np.packbits(out, bitorder="little").tobytes()
 
 
 _EMPTY = build(np.zeros(0, np.uint64), np.zeros(0, np.int64))

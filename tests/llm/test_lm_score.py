@@ -93,3 +93,16 @@ def test_empty_null_and_repeated_ids(spark):
     rows = lm_scores(documents(spark, [None, "", "a b", "a b"], [None, 1, 1, 1])).collect()
     assert sorted(r.n_tokens for r in rows) == [1, 1, 3, 3]
     assert [r.held_out for r in rows if r.doc_id is None] == [False]
+
+
+def test_bigrams_that_occur_once_are_in_the_model(spark):
+    rows = [(i, t) for i, t in enumerate(texts())]
+    docs = documents(spark, [t for _, t in rows], [i for i, _ in rows])
+    train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2]
+    once = Counter(p for t in train for p in zip([None, *tokens(t)], tokens(t), strict=False))
+    hashed = {p: lm_score.pairs(lm_score.tokens([b" ".join(w for w in p if w)])[0]) for p in once}
+    model = lm_score.joined(lm_score.train(docs.where(~lm_score.held_out())), lm_score.shuffle_partitions(spark))
+    single = [p for p, n in once.items() if n == 1 and None not in p]
+    key = np.array([hashed[p][1] for p in single], np.uint64)
+    assert len(single) > 100 and (model.bigrams(key) >= 1).all()
+    assert lm_score.MIN_COUNT == 1
