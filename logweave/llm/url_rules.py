@@ -3,6 +3,7 @@
 Two kinds of rules: host and path prefixes (``Prefix``), where the longest that fits wins, and patterns (``Pattern``) that
 decide on the rest. Both are indexed by one token: of the tokens that every URL which fits a rule must have, the one that
 the fewest URLs have. A URL's tokens fetch its candidate rules, and only those are compared or run their regular expression.
+A prefix needs whole tokens; a pattern's literals may go on in the URL, so it is fetched wherever its literal stands.
 Counts of the rules' tokens are taken over all URLs, in one aggregation whose result has as many rows as there are tokens.
 
 The rules are a parameter and bounded (``MOST_RULES``); they become literals of one projection: no shuffle, no user code.
@@ -72,7 +73,7 @@ def _tokens(text: Column) -> Column:
 
 
 def _literals(rule: Prefix | Pattern) -> list[str]:
-    """Whole tokens that a URL must have for the rule to fit: a prefix's last one may go on in the URL."""
+    """What a URL must have for the rule to fit: a pattern's literals anywhere, a prefix's whole tokens (its last one may go on)."""
     if isinstance(rule, Pattern):
         return list(rule.literals)
     path = _TOKEN.findall(rule.path.lower())
@@ -85,12 +86,18 @@ def index(pages: DataFrame, rules: tuple, url: str = "url") -> dict[str, list]:
     """The rules by their rarest literal token; "" for those that have none."""
     if len(rules) > MOST_RULES:
         raise ValueError(f"more than {MOST_RULES} rules")
-    literals = sorted({t for r in rules for t in _literals(r)})
-    seen = F.filter(_tokens(F.coalesce(F.col(url), F.lit(""))), lambda t: t.isin(literals)) if literals else F.array().cast("array<string>")
-    count = {r.token: r["n"] for r in pages.select(F.explode(seen).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()}
+    kinds = lambda k: sorted({t for r in rules if isinstance(r, k) for t in _literals(r)})
+    whole, part = kinds(Prefix), kinds(Pattern)
+    text = F.coalesce(F.col(url), F.lit(""))
+    none = F.array().cast("array<string>")
+    seen = F.filter(_tokens(text), lambda t: t.isin(whole)) if whole else none
+    inside = F.array_compact(F.array(*(F.when(F.lower(text).contains(t), F.lit(t)) for t in part))) if part else none
+    both = F.concat(*(F.transform(x, lambda t, k=k: F.struct(F.lit(k).alias("kind"), t.alias("token"))) for k, x in (("Prefix", seen), ("Pattern", inside))))
+    count = {(r.one.kind, r.one.token): r["n"] for r in pages.select(F.explode(both).alias("one")).groupBy("one").agg(F.count(F.lit(1)).alias("n")).collect()}
     out: dict[str, list] = {}
     for r in rules:
-        out.setdefault(min(_literals(r), key=lambda t: (count.get(t, 0), t), default=""), []).append(r)
+        kind = "Pattern" if isinstance(r, Pattern) else "Prefix"
+        out.setdefault(min(_literals(r), key=lambda t: (count.get((kind, t), 0), t), default=""), []).append(r)  # noqa: B023
     return out
 
 
@@ -101,7 +108,8 @@ def _fits(rule: Prefix) -> Column:
 
 def _fetched(found: dict[str, list], test, value) -> Column:
     """Array of what the rules that are fetched and fit give, null for the others."""
-    each = [F.when(F.array_contains("tokens", token) & test(r) if token else test(r), value(r)) for token, rules in sorted(found.items()) for r in rules]
+    has = lambda r, t: F.col("url_text").contains(t) if isinstance(r, Pattern) else F.array_contains("tokens", t)
+    each = [F.when(has(r, token) & test(r) if token else test(r), value(r)) for token, rules in sorted(found.items()) for r in rules]
     return F.array(*each)
 
 

@@ -101,3 +101,11 @@ def test_url_rules(spark):
     assert {r.verdict for r in judge(pages, (), (), "block").collect()} == {"block"}
     own = judge(pages, (Prefix("block", "org", "/"),), (Pattern("allow", "^https", ()),), "block")
     assert {r.url: r.verdict for r in own.collect()}["https://x.example.net/de/70"] == "allow"
+
+
+def test_url_patterns_whose_literal_goes_on(spark):
+    urls = ["https://ad-tracker.example.com/", "https://ads-tracking.net/", "https://ads-track.net/", "https://track.net/", "https://x.org/retrack"]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    assert [r.verdict for r in judge(pages).orderBy("page_id").collect()] == ["block", "block", "block", "allow", "allow"]
+    own = judge(pages, (), (Pattern("block", "rack", ("rack",)), Pattern("block", "ads-track", ("ads-track",))))
+    assert [r.verdict for r in own.orderBy("page_id").collect()] == ["block"] * 5
