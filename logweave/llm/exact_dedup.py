@@ -100,7 +100,8 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
 def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns."""
     staged, folder = _staged(docs, key, text)
-    groups = frozen(_groups(docs, staged, folder, text).select(F.col("digest").alias("__digest"), F.col("last.doc_id").alias("__keep")), "kept")
+    # group_size is written too: the check of the full bytes is part of it and runs only where it is asked for
+    groups = frozen(_groups(docs, staged, folder, text).select(F.col("digest").alias("__digest"), F.col("last.doc_id").alias("__keep"), F.col("group_size").alias("__size")), "kept")
     own = lambda df, d: (df[d] == groups["__digest"]) & F.col(key if d == "__own" else "doc_id").cast("long").eqNullSafe(groups["__keep"])
     rows = docs.withColumn("__own", digest(text))
     stay = rows.join(groups, own(rows, "__own"))

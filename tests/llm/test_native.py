@@ -6,6 +6,10 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import pytest
+from pyspark.sql import functions as F
+
+from logweave.llm import exact_dedup
 from logweave.llm.exact_dedup import dedup, exact_groups, stream_state
 from logweave.llm.quality_rules import quality
 from logweave.llm.url_rules import Pattern, Prefix, judge
@@ -109,3 +113,10 @@ def test_url_patterns_whose_literal_goes_on(spark):
     assert [r.verdict for r in judge(pages).orderBy("page_id").collect()] == ["block", "block", "block", "allow", "allow"]
     own = judge(pages, (), (Pattern("block", "rack", ("rack",)), Pattern("block", "ads-track", ("ads-track",))))
     assert [r.verdict for r in own.orderBy("page_id").collect()] == ["block"] * 5
+
+
+def test_dedup_stops_on_a_collision_of_digests(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "digest", lambda text="text": F.lit("same"))
+    with pytest.raises(Exception, match="different texts with digest"):
+        dedup(documents(spark, ["one", "two", "one"])).collect()
+    assert len(dedup(documents(spark, ["one", "one"])).collect()) == 1
