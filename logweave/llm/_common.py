@@ -22,21 +22,25 @@ _OWN = "/tmp/checkpoints/logweave"
 
 
 def session(spark: SparkSession | None = None) -> SparkSession:
-    """The session, with Arrow batches small enough for long texts."""
+    """The session, with Arrow batches small enough for long texts. Smaller settings stay; greater ones are lowered for good, as plans read them when they run."""
     spark = spark or SparkSession.getActiveSession()
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(name).rstrip("b")
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(name, str(most))
     return spark
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A new folder's URI below the one that all executors share.
 
-    Where ``spark.checkpoint.dir`` is unset (tests on one machine) a local one is used and removed at exit.
+    Where ``spark.checkpoint.dir`` is unset and all runs on one machine (tests), a local one is used and removed at exit.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     name = f"{what}-{uuid.uuid4().hex}"
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = f"{_OWN}/{name}"
         atexit.register(shutil.rmtree, path, ignore_errors=True)
         return f"file://{path}"
@@ -47,7 +51,16 @@ def frozen(df: DataFrame, what: str) -> DataFrame:
     """df, written as Parquet in the shared folder and read back: cuts the lineage, survives lost executors."""
     path = shared_dir(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._frozen_at = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Removes the table of a ``frozen`` df, once nothing that is still to run reads it."""
+    spark, path = df.sparkSession, df._frozen_at
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -3,11 +3,14 @@
 The matrix has a row for each distinct set of word n-grams (copies share one) and a column for each n-gram.
 
 1. *Columns.* Entries are dealt by n-gram. A column with one entry adds nothing to the product off its diagonal and goes;
-   the others get their length, so that rare columns can come first.
+   the others get their length, so that rare columns can come first. A column that has as many entries in one gathering as a
+   slice's fair share of it is hot: its entries go to the slices of their rows at once and only its name to its own slice,
+   which then calls its entries from elsewhere hot too. Hot columns come last, by name.
 2. *Rows.* A row that keeps fewer entries than ``threshold`` times its size can't reach the threshold with any other, and
    goes. The rest get a prefix of their rarest columns: two rows that link share a column within both prefixes.
 3. *Candidate groups.* Rows are connected through their prefixes' columns (each row with the column's least row, never
-   pair by pair), so that all rows that may link are in one group, and each row in one only.
+   pair by pair), so that all rows that may link are in one group, and each row in one only. A task connects its own rows
+   first and sends one row for each column, however many it has.
 4. *Product.* Groups are cut into blocks of about ``BLOCK`` rows. A task accumulates the overlap counts of one row with
    the others from the columns' lists, or from the others' own entries where that is less; it discards pairs whose sizes
    exclude the threshold, and returns which classes its links join, never the pairs. Two rows that are joined already need
@@ -20,12 +23,14 @@ The matrix has a row for each distinct set of word n-grams (copies share one) an
 Sets are known by 64-bit hashes: among N different ones two agree with a chance of N * N / 2**65. N-grams are known by their
 slice and 48 further bits: two texts of n n-grams each get one too many in common with a chance of n * n / 2**48 / slices.
 
-A common n-gram makes one list in step 1, packed by the chunk that sends it, and one star in step 3. A class of near copies
+A class of near copies
 that holds a share of all rows costs a product of its rows with the others of its group, not with each other. Rows of one
 group that don't link, but have rare n-grams and sizes alike, cost a product of their number's square, in parallel blocks.
 
 Null texts and texts without words have an empty set and link with nothing. Rows with equal ids are judged by their own
-text and get the component of their text; other columns are not read.
+text and get the component of their text; a null id counts for no component's least one, and a component of null ids alone
+has null. Long texts are one row of the matrix, whatever their length. An empty table gives no rows; other columns are not
+read, whatever their names.
 """
 
 from __future__ import annotations
@@ -35,12 +40,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logweave.llm._common import WordHashes, cuts, frozen, mix, session, shuffle_partitions
-from logweave.llm.components import components
+from logweave.llm._common import WordHashes, cuts, forget, frozen, mix, session, shuffle_partitions
+from logweave.llm.components import components, forest
 
 WORDS, THRESHOLD, BLOCK, PIVOTS = 5, 75, 2048, 8
-#: Entries that a task gathers before it sends them.
-FLUSH = 1_500_000
+#: Entries that a task gathers before it sends them; a column is hot if so many of them, and a slice's share of them, are its.
+FLUSH, HOT = 1_500_000, 16
 _HASHES = WordHashes()
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -86,6 +91,7 @@ def _members(words: int):
 
 
 _PACKED = pa.schema([("slice", pa.int32()), ("data", pa.binary())])
+_ENTRIES = pa.schema([("slice", pa.int32()), ("data", pa.binary()), ("hot", pa.binary())])
 
 
 def _pack(cls: np.ndarray, size: np.ndarray, *columns: np.ndarray) -> bytes:
@@ -132,18 +138,50 @@ def _six(g: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(g.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
 
 
-def _entries(words: int, slices: int):
+def _named(g: np.ndarray, part: np.ndarray) -> np.ndarray:
+    """The slice and the lower 48 bits in one number."""
+    return g & np.uint64((1 << 48) - 1) | (part % 65536).astype(np.uint64) << np.uint64(48)
+
+
+def _row_slice(keys: np.ndarray, slices: int) -> np.ndarray:
+    return (keys.view(np.uint64) % np.uint64(slices)).astype(np.int32)
+
+
+def hot(g: np.ndarray, slices: int, least: int) -> np.ndarray:
+    """Which entries have an n-gram that makes up a slice's share of all of them."""
+    least = max(least, len(g) // slices)
+    out = np.zeros(len(g), bool)
+    # few n-grams share their upper 20 bits with so many others
+    bucket = (g >> np.uint64(44)).astype(np.int64)
+    some = np.flatnonzero((np.bincount(bucket, minlength=1 << 20) >= least)[bucket])
+    _, at, count = np.unique(g[some], return_inverse=True, return_counts=True)
+    out[some] = count[at] >= least
+    return out
+
+
+def _entries(words: int, slices: int, least: int):
     def entries(batches):
         held: dict[int, np.ndarray] = {}
         n = 0
 
         def flush():
-            if held:
-                keys, sets = np.fromiter(held, np.int64, len(held)), list(held.values())
-                size = np.fromiter(map(len, sets), np.int64, len(sets))
-                g = np.concatenate(sets)
-                held.clear()
-                yield from _by_slice(slice_of(g, slices), np.repeat(keys, size), np.repeat(size, size), _six(g))
+            if not held:
+                return
+            keys, sets = np.fromiter(held, np.int64, len(held)), list(held.values())
+            size = np.fromiter(map(len, sets), np.int64, len(sets))
+            g = np.concatenate(sets)
+            held.clear()
+            keys, size, part = np.repeat(keys, size), np.repeat(size, size), slice_of(g, slices)
+            over = hot(g, slices, least)
+            names = np.unique(g[over])
+            of, six = slice_of(names, slices), _six(names)
+            for b in _by_slice(part[~over], keys[~over], size[~over], _six(g[~over])):
+                yield pa.record_batch([*b.columns, pa.array([six[of == p].tobytes() for p in b["slice"].to_pylist()], pa.binary())], schema=_ENTRIES)
+                of = np.where(np.isin(of, b["slice"].to_numpy()), -1, of)
+            for p in np.unique(of[of >= 0]).tolist():
+                yield pa.record_batch([pa.array([p], pa.int32()), pa.array([_pack(keys[:0], size[:0])], pa.binary()), pa.array([six[of == p].tobytes()], pa.binary())], schema=_ENTRIES)
+            for b in _by_slice(slices + _row_slice(keys[over], slices), keys[over], size[over], _named(g[over], part[over])):
+                yield pa.record_batch([*b.columns, pa.array([None] * len(b), pa.binary())], schema=_ENTRIES)
 
         for b in batches:
             for s in shingles(b["body"].to_pylist(), words):
@@ -158,10 +196,14 @@ def _entries(words: int, slices: int):
     return entries
 
 
+_MANY = np.uint32(0xFFFFFFFF)
+
+
 def _columns(slices: int):
     def columns(table: pa.Table) -> pa.Table:
         """Keeps the slice's columns that have two entries or more, and dealt by class sends them on with their length."""
-        parts = [_unpack(d, "six") for d in table["data"].to_pylist()]
+        at = table["slice"][0].as_py()
+        parts = [_unpack(d, "six" if at < slices else np.uint64) for d in table["data"].to_pylist()]
         keys = np.concatenate([np.repeat(p[0], p[2]) for p in parts])
         size = np.concatenate([np.repeat(p[1], p[2]) for p in parts])
         g = np.concatenate([p[3] for p in parts])
@@ -169,13 +211,20 @@ def _columns(slices: int):
         keys, size, g = keys[order], size[order], g[order]
         new = np.append(True, (g[1:] != g[:-1]) | (keys[1:] != keys[:-1])) if len(g) else np.zeros(0, bool)
         keys, size, g = keys[new], size[new], g[new]
-        at = cuts(g)
-        df = np.repeat(np.diff(at), np.diff(at))
-        ok = df >= 2
-        # from here on the slice is part of the n-gram's name
-        keys, size, g, df = keys[ok], size[ok], g[ok] | np.uint64(table["slice"][0].as_py() % 65536) << np.uint64(48), df[ok]
-        part = (keys.view(np.uint64) % np.uint64(slices)).astype(np.int32)
-        return pa.Table.from_batches(list(_by_slice(part, keys, size, g, df.astype(np.uint32))), _PACKED)
+        if at >= slices:
+            df = np.full(len(g), _MANY)
+        else:
+            edge = cuts(g)
+            df = np.repeat(np.diff(edge), np.diff(edge)).astype(np.uint32)
+            said = b"".join(d for d in table["hot"].to_pylist() if d)
+            if said:
+                known = np.zeros((len(said) // 6, 8), np.uint8)
+                known[:, :6] = np.frombuffer(said, np.uint8).reshape(-1, 6)
+                df[np.isin(g, known.view("<u8").ravel())] = _MANY
+            ok = df >= 2
+            keys, size, df = keys[ok], size[ok], df[ok]
+            g = _named(g[ok], np.full(len(keys), at))
+        return pa.Table.from_batches(list(_by_slice(_row_slice(keys, slices), keys, size, g, df)), _PACKED)
 
     return columns
 
@@ -195,7 +244,12 @@ def _rows(threshold: int):
         size = np.concatenate([np.repeat(p[1], p[2]) for p in parts]).astype(np.int64)
         g = np.concatenate([p[3] for p in parts])
         df = np.concatenate([p[4] for p in parts])
-        order = np.argsort(keys, kind="stable")
+        # a column that was hot for one task only comes with the same row from another as well
+        order = np.lexsort((g, keys))
+        keys, size, g, df = keys[order], size[order], g[order], df[order]
+        new = np.append(True, (g[1:] != g[:-1]) | (keys[1:] != keys[:-1])) if len(g) else np.zeros(0, bool)
+        keys, size, g, df = keys[new], size[new], g[new], df[new]
+        order = np.arange(len(keys))
         at = cuts(keys[order])
         kept = np.diff(at)
         need = least_overlap(size[order[at[:-1]]], threshold) if len(order) else kept
@@ -214,6 +268,60 @@ def _rows(threshold: int):
     return rows
 
 
+_STARS = pa.schema([("slice", pa.int32()), ("grams", pa.binary()), ("rows", pa.binary()), ("hi", pa.binary()), ("lo", pa.binary())])
+
+
+def _starred(gram: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct columns with their least row, and for each entry that row."""
+    order = np.lexsort((row, gram))
+    gram, row = gram[order], row[order]
+    at = cuts(gram)
+    star = row[at[:-1]]
+    back = np.empty(len(row), np.int64)
+    back[order] = np.repeat(star, np.diff(at))
+    return gram[at[:-1]], star, back
+
+
+def _stars(slices: int):
+    def stars(batches):
+        held, n, turn = [], 0, 0
+
+        def flush():
+            gram, row = np.concatenate([g for g, _ in held]), np.concatenate([r for _, r in held])
+            names, star, back = _starred(gram, row)
+            hi, lo = forest(row, back)
+            part = (names.view(np.uint64) % np.uint64(slices)).astype(np.int32)
+            order = np.argsort(part, kind="stable")
+            names, star, part = names[order], star[order], part[order]
+            at = cuts(part)
+            own = turn % max(len(at) - 1, 1)
+            for k, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)):
+                yield pa.record_batch([pa.array([part[i]], pa.int32()), *(pa.array([x], pa.binary()) for x in (names[i:j].tobytes(), star[i:j].tobytes(), hi.tobytes() if k == own else b"", lo.tobytes() if k == own else b""))], schema=_STARS)
+
+        for b in batches:
+            prefix = b["prefix"]
+            gram = np.asarray(prefix.flatten().to_numpy(zero_copy_only=False), np.int64)
+            row = np.repeat(b["cls"].to_numpy(), np.diff(prefix.offsets.to_numpy()))
+            if len(gram):
+                held.append((gram, row))
+                n += len(gram)
+            if n >= FLUSH:
+                yield from flush()
+                turn += 1
+                held, n = [], 0
+        if held:
+            yield from flush()
+
+    return stars
+
+
+def _connected(table: pa.Table) -> pa.Table:
+    gram, row, hi, lo = (np.concatenate([np.frombuffer(d, np.int64) for d in table[c].to_pylist()]) for c in ("grams", "rows", "hi", "lo"))
+    _, _, back = _starred(gram, row)
+    hi, lo = forest(np.concatenate((hi, row)), np.concatenate((lo, back)))
+    return pa.table([pa.array(hi, pa.int64()), pa.array(lo, pa.int64())], names=["cls", "star"])
+
+
 _EDGES = "a long, b long"
 
 
@@ -266,8 +374,8 @@ def _first_pass(rows: DataFrame, groups: DataFrame, sizes: DataFrame, threshold:
     """Links within the blocks of each group, which have the group's pivots in common."""
     own = F.array(F.pmod(F.xxhash64("node"), F.col("blocks")))
     everywhere = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)
-    placed = groups.join(sizes, "root").select("node", "root", F.when(F.array_contains("pivots", F.col("node")), everywhere).otherwise(own).alias("at"))
-    dealt = rows.join(placed, F.col("cls") == F.col("node")).select(
+    placed = groups.join(sizes.hint("merge"), "root").select("node", "root", F.when(F.array_contains("pivots", F.col("node")), everywhere).otherwise(own).alias("at"))
+    dealt = rows.join(placed.hint("merge"), F.col("cls") == F.col("node")).select(
         "root", F.explode("at").alias("block"), "cls", F.col("cls").alias("label"), "size", F.lit(0).alias("side"), F.lit(False).alias("cross"), "grams"
     )
     return dealt.groupBy("root", "block").applyInArrow(_product(threshold), _EDGES)
@@ -277,26 +385,26 @@ def _second_pass(rows: DataFrame, groups: DataFrame, sizes: DataFrame, linked: D
     """Links between classes that the first pass has left apart, in groups of several blocks."""
     # a little wider than the bound of sizes that may link, so that rounding can't part two such sizes by more than a band
     band = F.floor(F.log(F.col("size").cast("double")) / F.log(F.lit(100 / threshold * (1 + 1e-6)))).alias("band")
-    members = groups.join(sizes.where("blocks > 1").select("root"), "root").select("node", F.col("root").alias("grp"))
+    members = groups.join(sizes.where("blocks > 1").select("root").hint("merge"), "root").select("node", F.col("root").alias("grp"))
     labels = linked.select("node", F.col("root").alias("label"))
-    members = members.join(labels, "node", "left").select("node", "grp", F.coalesce("label", "node").alias("label"))
-    members = members.join(rows.select(F.col("cls").alias("node"), band), "node")
+    members = members.join(labels.hint("merge"), "node", "left").select("node", "grp", F.coalesce("label", "node").alias("label"))
+    members = frozen(members.join(rows.select(F.col("cls").alias("node"), band).hint("merge"), "node"), "members")
     large = members.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= BLOCK).select("label", F.col("label").alias("pure"))
     unit = F.concat_ws(".", "grp", F.coalesce(F.col("pure").cast("string"), F.lit("mixed")), "band").alias("unit")
-    members = members.join(large, "label", "left").select("node", "grp", "label", "pure", "band", unit)
-    units = members.groupBy("unit", "grp", "pure", "band").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("blocks"))
+    members = members.join(large.hint("merge"), "label", "left").select("node", "grp", "label", "pure", "band", unit)
+    units = frozen(members.groupBy("unit", "grp", "pure", "band").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).alias("blocks")), "units")
     name = lambda slot: F.concat_ws(".", "unit", slot)
     blocks = units.select("grp", "pure", "band", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("slot"), "unit").select("grp", "pure", "band", name("slot").alias("i"))
     above = blocks.select("grp", F.col("pure").alias("other"), F.col("band").alias("top"), F.col("band").alias("meet"), F.col("i").alias("j"))
     pairs = (
         blocks.withColumn("meet", F.explode(F.array("band", F.col("band") + 1)))
-        .join(above, ["grp", "meet"])
+        .join(above.hint("merge"), ["grp", "meet"])
         .where("(band < top or i <= j) and not coalesce(pure = other, false)")
         .select("i", "j", (F.col("i") != F.col("j")).alias("cross"))
     )
     sides = pairs.select(F.col("i").alias("block"), F.lit(0).alias("side"), "i", "j", "cross").unionByName(pairs.where("cross").select(F.col("j").alias("block"), F.lit(1).alias("side"), "i", "j", "cross"))
-    placed = members.join(units.select("unit", "blocks"), "unit").select("node", "label", name(F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("block"))
-    dealt = rows.join(placed.join(sides, "block"), F.col("cls") == F.col("node")).select("i", "j", "cls", "label", "size", "side", "cross", "grams")
+    placed = members.join(units.select("unit", "blocks").hint("merge"), "unit").select("node", "label", name(F.pmod(F.xxhash64("node"), F.col("blocks"))).alias("block"))
+    dealt = rows.join(placed.join(sides.hint("merge"), "block").hint("merge"), F.col("cls") == F.col("node")).select("i", "j", "cls", "label", "size", "side", "cross", "grams")
     return dealt.groupBy("i", "j").applyInArrow(_product(threshold), _EDGES)
 
 
@@ -307,25 +415,26 @@ def ngram_components(docs: DataFrame, words: int = WORDS, threshold: int = THRES
     bodies = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
     members = frozen(bodies.mapInArrow(_members(words), "doc_id long, n_shingles long, cls long"), "sets")
     packed = "slice int, data binary"
-    entries = bodies.select("body").mapInArrow(_entries(words, slices), packed)
+    entries = bodies.select("body").mapInArrow(_entries(words, slices, HOT), f"{packed}, hot binary")
     columns = entries.groupBy("slice").applyInArrow(_columns(slices), packed)
     rows = frozen(columns.groupBy("slice").applyInArrow(_rows(threshold), "cls long, size long, grams binary, prefix array<long>"), "rows")
 
-    prefixes = rows.select("cls", F.explode("prefix").alias("gram"))
-    stars = prefixes.groupBy("gram").agg(F.min("cls").alias("star"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    groups = components(prefixes.join(stars, "gram").where("cls <> star").select("cls", "star").distinct(), "cls", "star", "groups")
+    stars = rows.select("cls", "prefix").mapInArrow(_stars(slices), "slice int, grams binary, rows binary, hi binary, lo binary")
+    groups = components(stars.groupBy("slice").applyInArrow(_connected, "cls long, star long"), "cls", "star", "groups")
 
     blocks = F.ceil(F.count(F.lit(1)) / F.lit(BLOCK))
     pivots = F.array_distinct(F.array(*(F.min_by("node", F.xxhash64(F.lit(k), F.col("node"))) for k in range(PIVOTS))))
-    sizes = groups.groupBy("root").agg(blocks.alias("blocks"), pivots.alias("pivots"))
+    sizes = frozen(groups.groupBy("root").agg(blocks.alias("blocks"), pivots.alias("pivots")), "sizes")
     entries_of = rows.select("cls", "size", "grams")
     linked = components(_first_pass(entries_of, groups, sizes, threshold), "a", "b", "links")
     if not sizes.where("blocks > 1").isEmpty():
         further = _second_pass(entries_of, groups, sizes, linked, threshold)
         linked = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(further), "a", "b", "links")
+    linked = frozen(linked, "linked")
+    forget(rows)
 
     least = members.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
-    named = least.join(linked, F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("root", "cls").alias("root"), "least")
+    named = least.join(linked.hint("merge"), F.col("cls") == F.col("node"), "left").select("cls", F.coalesce("root", "cls").alias("root"), "least")
     of_root = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_class = named.join(of_root, "root").select("cls", "component_id")
-    return members.join(of_class, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    of_class = named.join(of_root.hint("merge"), "root").select("cls", "component_id")
+    return members.join(of_class.hint("merge"), "cls", "left").select("doc_id", "n_shingles", F.when(F.col("cls").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))

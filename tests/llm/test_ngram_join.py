@@ -3,10 +3,12 @@ from __future__ import annotations
 import random
 import re
 
+import numpy as np
 import pytest
 
+from logweave.llm import components as components_module
 from logweave.llm import ngram_join
-from logweave.llm.components import components
+from logweave.llm.components import components, forest
 from logweave.llm.ngram_join import ngram_components
 from tests.llm.fixtures import documents, texts
 
@@ -77,6 +79,25 @@ def test_ids_in_any_order_and_negative(spark):
     assert got(ngram_components(documents(spark, bodies, ids))) == brute(list(zip(ids, bodies, strict=True)))
 
 
+def test_null_and_repeated_ids(spark):
+    bodies = near(9, 20) + texts(2, 20)
+    bodies += bodies[:6]
+    ids = [i % 17 for i in range(len(bodies))]
+    assert got(ngram_components(documents(spark, bodies, ids))) == brute(list(zip(ids, bodies, strict=True)))
+    rows = ngram_components(documents(spark, ["a b c d e f", "a b c d e f", "x y", None], [None, 4, None, None])).collect()
+    assert sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in rows) == [(-1, 0, -1), (-1, 1, -1), (-1, 2, 4), (4, 2, 4)]
+
+
+def test_hot_columns_come_last_and_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT", 2)
+    rng = random.Random(8)
+    common = "the same five words stand in every text of all"
+    bodies = [f"{common} " + " ".join(rng.choice("abcdefgh") + str(rng.randrange(9)) for _ in range(k % 25)) for k in range(80)] + near(4, 40)
+    docs = documents(spark, bodies)
+    monkeypatch.setattr(ngram_join, "shuffle_partitions", lambda spark: 64)
+    assert got(ngram_components(docs)) == brute(list(enumerate(bodies)))
+
+
 def test_threshold_is_inclusive(spark):
     # 7 and 7 shingles with 6 in common: 6 / 8 = 0.75
     a, b = "a b c d e f g h i j k", "z b c d e f g h i j k"
@@ -91,7 +112,26 @@ def test_empty_table(spark):
     assert ngram_components(documents(spark).limit(0)).collect() == []
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("most", [components_module.EDGES, 7])
+def test_components_of_a_long_chain(spark, monkeypatch, most):
+    monkeypatch.setattr(components_module, "EDGES", most)
     edges = spark.createDataFrame([(i, i + 1) for i in range(200) if i != 77] + [(5, 5)], "a long, b long")
     found = {r.node: r.root for r in components(edges, "a", "b").collect()}
     assert found == {i: 0 if i <= 77 else 78 for i in range(201)}
+
+
+def test_components_without_edges(spark):
+    none = spark.createDataFrame([], "a long, b long")
+    assert components(none, "a", "b").collect() == components(spark.createDataFrame([(3, 3), (None, 1)], "a long, b long"), "a", "b").collect() == []
+
+
+def test_forest_equals_plain_union_find():
+    rng = random.Random(1)
+    for n in (0, 1, 5, 200):
+        edges = [(rng.randrange(100), rng.randrange(100)) for _ in range(n)]
+        root = {k: k for e in edges for k in e}
+        for _ in root:
+            for a, b in edges:
+                root[a] = root[b] = min(root[a], root[b])
+        hi, lo = forest(*(np.array([e[k] for e in edges], np.int64) for k in (0, 1)))
+        assert dict(zip(hi.tolist(), lo.tolist(), strict=True)) == {k: r for k, r in root.items() if k != r}
