@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
-from logweave.llm import exact_dedup
+from logweave.llm import exact_dedup, url_rules
 from logweave.llm.exact_dedup import dedup, exact_groups, stream_state
 from logweave.llm.quality_rules import quality
-from logweave.llm.url_rules import Pattern, Prefix, judge
+from logweave.llm.url_rules import PATTERNS, Pattern, Prefix, judge, tokens_of
 from tests.llm.fixtures import documents, texts
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -103,7 +104,7 @@ def test_url_rules(spark):
     assert got == want
     assert judge(pages.limit(0)).collect() == []
     assert {r.verdict for r in judge(pages, (), (), "block").collect()} == {"block"}
-    own = judge(pages, (Prefix("block", "org", "/"),), (Pattern("allow", "^https", ()),), "block")
+    own = judge(pages, (Prefix("block", "org", "/"),), (Pattern("allow", "^https"),), "block")
     assert {r.url: r.verdict for r in own.collect()}["https://x.example.net/de/70"] == "allow"
 
 
@@ -111,7 +112,7 @@ def test_url_patterns_whose_literal_goes_on(spark):
     urls = ["https://ad-tracker.example.com/", "https://ads-tracking.net/", "https://ads-track.net/", "https://track.net/", "https://x.org/retrack"]
     pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
     assert [r.verdict for r in judge(pages).orderBy("page_id").collect()] == ["block", "block", "block", "allow", "allow"]
-    own = judge(pages, (), (Pattern("block", "rack", ("rack",)), Pattern("block", "ads-track", ("ads-track",))))
+    own = judge(pages, (), (Pattern("block", "rack"), Pattern("block", "ads-track")))
     assert [r.verdict for r in own.orderBy("page_id").collect()] == ["block"] * 5
 
 
@@ -120,3 +121,41 @@ def test_dedup_stops_on_a_collision_of_digests(spark, monkeypatch):
     with pytest.raises(Exception, match="different texts with digest"):
         dedup(documents(spark, ["one", "two", "one"])).collect()
     assert len(dedup(documents(spark, ["one", "one"])).collect()) == 1
+
+
+def test_tokens_that_a_pattern_closes_on_both_sides():
+    of = lambda regex: [set(x) for x in tokens_of(Pattern("block", regex))]
+    assert [[set(x) for x in tokens_of(p)] for p in PATTERNS] == [[{"spam"}], [{"ad"}, {"ads"}], [{"feed", "source", "utm"}]]
+    assert of("track") == of("/track") == of("track/") == of("/tra[ck]/") == of("/(?i)TRACK/") == of("/trac(?=k)k/") == of("(") == [set()]
+    assert of("/track/") == of("^track$") == of("[/?]track[&=]") == [{"track"}]
+    assert of("/a?b/") == [{"ab"}, {"b"}] and of("/(aa|b[c-e])/") == [set(), {"aa"}]
+    assert tokens_of(Prefix("block", "a-b.com", "/En/7")) == [frozenset({"a", "b", "com", "en"})]
+
+
+@pytest.mark.parametrize("most", [url_rules.LITERAL, 0])
+def test_url_rules_equal_all_rules_run_on_all_urls(spark, monkeypatch, most):
+    monkeypatch.setattr(url_rules, "LITERAL", most)
+    rng = random.Random(4)
+    words = ["ad", "ads", "track", "tracker", "spam", "x", "com", "net", "en", "De", "7", "70", "feed"]
+    pick = lambda: rng.choice(words)
+    urls = [rng.choice(["https://", "HTTP://", "", "ftp:"]) + rng.choice([".", "-"]).join(pick() for _ in range(rng.randint(1, 3))) + "".join(rng.choice("/?#&=") + pick() + rng.choice(["", "-" + pick(), "." + pick()]) for _ in range(rng.randrange(4))) for _ in range(400)]
+    urls += ["https://ad-tracker.com/fr/1", "https://ads-tracking.example.org/fr/2", "https://ad-tracker.com/fr/1", None, "", "https://" + "x" * 20_000 + ".com/en/"]
+    prefixes = tuple({r.text: r for r in (Prefix(rng.choice(["block", "allow"]), ".".join(pick().lower() for _ in range(rng.randint(1, 2))), "".join("/" + pick() + rng.choice(["", "/"]) for _ in range(rng.randrange(3)))) for _ in range(25))}.values())
+    patterns = (*PATTERNS, Pattern("allow", "/(en|x)[-/]"), Pattern("block", "track(er)?$"), Pattern("block", "[a-d]s[-.]track"), Pattern("allow", "[?&]feed(=|$)"))
+
+    def plain(url):
+        url = url or ""
+        rest = url.partition("://")[2]
+        host = re.match(r"[^/?#]*", rest).group()
+        path = re.match(r"[^?#]*", rest[len(host) :]).group()
+        host = host.lower()
+        fit = [r for r in prefixes if "://" in url and (host == r.host or host.endswith("." + r.host)) and path.startswith(r.path)]
+        best = max(fit, key=lambda r: (len(r.text), r.text), default=None)
+        found = [p.verdict for p in patterns if re.search(p.regex, url.lower())]
+        return host, path, best and best.text, best.verdict if best else found[0] if found else "allow"
+
+    pages = spark.createDataFrame([(i % 7 or None, u, "a", "b", "c", "d", "e") for i, u in enumerate(urls)], "page_id long, url string, tokens string, url_text string, fit string, prefix string, rule string").repartition(3)
+    got = judge(pages, prefixes, patterns).select("page_id", "url", "host", "path", "rule", "verdict", "fit").collect()
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted((tuple(r) for r in got), key=key) == sorted(((i % 7 or None, u, *plain(u), "c") for i, u in enumerate(urls)), key=key)
+    assert {plain(u)[3] for u in urls} == {"allow", "block"} and any(plain(u)[2] for u in urls)
