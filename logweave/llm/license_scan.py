@@ -1,17 +1,21 @@
 """Operator 3: licence scans by conditional compression.
 
-A block is what surrounds a cue word: its line, or ``REACH`` characters to either side of it in a longer line. Each block is
-compressed by itself and with each template as a raw zstandard dictionary. The templates are ranked by the share of bytes
-that they save and confirmed in this order by their wording, however little they save, as a notice may be a small part of its
-block: the template's words are aligned with the block's, and it holds if no more than one word in ``WORDS_FOR_ONE`` differs
-(none in a shorter one) and no number in it does. A block's saving is that of the first template that holds.
-
-Notices may be wrapped and may stand side by side, so a text's licences are not read from its blocks alone: around each cue
-as many words as the longest template may have are taken to either side, across lines, and every template that holds among
-them counts. Runs of words that overlap are one. n_differences has for each run and licence the least number of words.
-
-Texts without a cue never leave the JVM. Null texts have no block. The result has a row for each row of docs, whatever its
-id; other columns are not read.
+1. *Blocks.* A block is the words around cues (``CUE``), across lines and paragraphs: as many to either side as the longest
+   template has, so a notice that has a cue lies whole in a block. Cues whose surroundings meet share a block, until it has
+   ``MOST`` times that many words; the next block then begins before its first cue again, and what both have counts once.
+2. *Ranking.* Each block is compressed by itself and with each template as a raw zstandard dictionary. The templates are
+   ranked by the share of the block's bytes that they save.
+3. *Wording.* They are confirmed in this order by their wording, however little they save, as a notice may be a small part of
+   its block: the template's words are aligned with the block's, and it holds if no more than one word in ``WORDS_FOR_ONE``
+   differs (none in a shorter one) and no number in it does. The words of a template that holds are taken out of the block,
+   and the rest is ranked anew, until nothing holds. So a block has any number of licences, and the words of a licence
+   within a longer one (BSD with two and three clauses) are no further licence.
+
+Words are compared in lower case, without articles and "version"; "licence" is "license", 2.0 is 2 and v3 is 3.
+
+Texts without a cue never leave the JVM. Null and empty texts have no block; a block's size is bounded, however long the text
+is. The result has a row for each row of docs, whatever its id, also for equal rows; other columns are not read, whatever
+their names. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,121 +31,108 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logweave.llm._common import session
+from logweave.llm.license_texts import TEMPLATES
 
-REACH, WORDS_FOR_ONE = 400, 15
-CUE = r"(?i)licen[sc]e|spdx|copyright|hereby[\W_]+granted|redistribution[\W_]+and[\W_]+use|public[\W_]+domain"
-#: What texts say of their licence.
-TEMPLATES = (
-    ("GPL-3.0", "licensed under the GNU General Public License, version 3"),
-    ("GPL-2.0", "licensed under the GNU General Public License, version 2"),
-    ("LGPL-2.1", "licensed under the GNU Lesser General Public License, version 2.1"),
-    ("AGPL-3.0", "licensed under the GNU Affero General Public License, version 3"),
-    ("Apache-2.0", "licensed under the Apache License, Version 2.0"),
-    ("MIT", "released under the MIT License"),
-    ("MIT", "licensed under the MIT License"),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
-    ("BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("MPL-2.0", "subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("CC-BY-4.0", "licensed under CC BY 4.0"),
-    ("CC-BY-SA-4.0", "licensed under CC BY-SA 4.0"),
-    ("CC-BY-NC-4.0", "licensed under CC BY-NC 4.0"),
-    ("CC-BY-NC-SA-4.0", "licensed under CC BY-NC-SA 4.0"),
-    ("CC0-1.0", "dedicated to the public domain under CC0 1.0"),
-)
-_WORD = re.compile(r"[^\W_]+")
-
-
-def blocks(text: str) -> list[str]:
-    """What surrounds the text's cues; cues whose surroundings overlap share a block."""
-    spans: list[list[int]] = []
-    for m in re.finditer(CUE, text):
-        low, high = m.start() - REACH, m.end() + REACH
-        low = max(text.rfind("\n", max(low, 0), m.start()) + 1, low, 0)
-        end = text.find("\n", m.end(), high)
-        high = min(end if end >= 0 else high, len(text))
-        if spans and low <= spans[-1][1]:
-            spans[-1][1] = max(spans[-1][1], high)
-        else:
-            spans.append([low, high])
-    return [text[a:b] for a, b in spans]
+WORDS_FOR_ONE, MOST = 15, 4
+CUE = r"(?i)licen[sc]e|spdx|copyright|hereby[\W_]+granted|permission[\W_]+is|redistribution[\W_]+and[\W_]+use|public[\W_]+domain|creative[\W_]+commons|\bcc[\W_]*(by|0)\b|\b[al]?gpl|\b[em]pl\b|gnu[\W_]+general"
+_WORD = re.compile(r"\d+(?:\.\d+)+|[^\W_]+")
+_NUMBER = re.compile(r"v?(\d+(?:\.\d+)*?)(?:\.0+)*")
+_SILENT = frozenset(("a", "an", "the", "version", "v"))
+_GONE = "\n"
+
+
+def _said(word: str) -> str:
+    number = _NUMBER.fullmatch(word)
+    return number.group(1) if number else word.replace("licence", "license")
 
 
-def runs(text: str, reach: int) -> list[list[str]]:
-    """The words of the lower-cased text that are at most ``reach`` words from a cue."""
-    low = text.lower()
-    found = list(_WORD.finditer(low))
-    begins, ends = [m.start() for m in found], [m.end() for m in found]
+def words_of(text: str) -> tuple[list[str], list[int], list[int]]:
+    """The text's words as they are compared, and where each begins and ends."""
+    found = [(w, m.start(), m.end()) for m in _WORD.finditer(text.lower()) if (w := _said(m.group())) not in _SILENT]
+    return [f[0] for f in found], [f[1] for f in found], [f[2] for f in found]
+
+
+def blocks(text: str, reach: int) -> list[tuple[int, list[str]]]:
+    """The words around the text's cues, each block with the number of its first word."""
+    text = text.lower()
+    words, begins, ends = words_of(text)
     spans: list[list[int]] = []
-    for m in re.finditer(CUE, low):
+    for m in re.finditer(CUE, text):
         # the words that the cue has a part of
-        a, b = max(bisect_right(ends, m.start()) - reach, 0), bisect_left(begins, m.end()) + reach
-        if spans and a <= spans[-1][1]:
+        a, b = max(bisect_right(ends, m.start()) - reach, 0), min(bisect_left(begins, m.end()) + reach, len(words))
+        if spans and a <= spans[-1][1] and b - spans[-1][0] <= MOST * reach:
             spans[-1][1] = max(spans[-1][1], b)
         else:
             spans.append([a, b])
-    return [[m.group() for m in found[a:b]] for a, b in spans]
+    return [(a, words[a:b]) for a, b in spans if a < b]
 
 
-def differences(template: list[str], block: list[str]) -> tuple[int, bool]:
-    """The least number of word edits from the template to any run of the block's words, and whether all its numbers stay."""
-    if not template:
-        return 0, True
-    # cost[j]: of the template so far against a run of the block that ends at j; a wrong number costs more than all words
-    price = [len(template) + 1 if any(c.isdigit() for c in w) else 1 for w in template]
-    cost = np.zeros(len(block) + 1, np.int64)
-    words = np.array(block, dtype=object)
+def _costs(template: list[str], block: list[str], anywhere: bool) -> np.ndarray:
+    """For each place in the block the least price of edits from the template to words that end there (and begin anywhere, or with the block)."""
+    words = np.array([*block, None], dtype=object)[:-1]
     steps = np.arange(len(block) + 1)
-    for w, p in zip(template, price, strict=True):
-        new = cost + p
-        new[1:] = np.minimum(new[1:], cost[:-1] + np.where(words == w, 0, p))
+    cost = np.zeros(len(block) + 1, np.int64) if anywhere else steps.copy()
+    for w in template:
+        price = len(template) + 1 if any(c.isdigit() for c in w) else 1
+        new = cost + price
+        new[1:] = np.minimum(new[1:], cost[:-1] + np.where(words == w, 0, price))
         cost = np.minimum.accumulate(new - steps) + steps
-    best = int(cost.min())
+    return cost
+
+
+def differences(template: list[str], block: list[str]) -> tuple[int, bool]:
+    """The least number of word edits from the template to any run of the block's words, and whether all its numbers stay."""
+    best = int(_costs(template, block, True).min())
     return best, best <= len(template)
 
 
+def aligned(template: list[str], block: list[str]) -> tuple[int, int, int]:
+    """The price of the best run of the block's words, and where it begins and ends."""
+    cost = _costs(template, block, True)
+    end = int(cost.argmin())
+    back = _costs(template[::-1], block[:end][::-1], False)
+    return int(cost[end]), end - int(back.argmin()), end
+
+
 class Templates:
     def __init__(self, templates=TEMPLATES):
-        self.names = [n for n, _ in templates]
-        self.words = [_WORD.findall(t.lower()) for _, t in templates]
+        distinct = {(name, tuple(words_of(text)[0])): None for name, text in templates}
+        self.names, self.words = [n for n, _ in distinct], [list(w) for _, w in distinct]
         #: words of the longest run that a template may hold in
         self.reach = max((len(w) + len(w) // WORDS_FOR_ONE for w in self.words), default=0)
-        self.plain = zstandard.ZstdCompressor(level=9)
-        self.given = [zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for _, t in templates]
+        self.plain = zstandard.ZstdCompressor(level=3)
+        self.given = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(" ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for w in self.words]
 
-    def ranked(self, block: str) -> list[tuple[float, int]]:
-        """Each template's share of the block's compressed bytes that it saves, and its number; the most first."""
-        data = block.lower().encode()
+    def ranked(self, words: list[str], which=None) -> list[tuple[float, int]]:
+        """The share of the block's compressed bytes that each template saves, and its number; the most first, of equal ones the longest."""
+        data = " ".join(words).encode()
         alone = len(self.plain.compress(data))
-        return sorted(((1 - len(c.compress(data)) / alone, k) for k, c in enumerate(self.given)), key=lambda x: (-x[0], x[1]))
-
-    def holds(self, k: int, words: list[str], known: set[str]) -> int | None:
-        """How many words differ if template k holds among the words (known: the distinct ones), else None."""
-        most = len(self.words[k]) // WORDS_FOR_ONE
-        # each word of the template that the block doesn't have costs one edit at least
-        if sum(w not in known for w in self.words[k]) > most:
-            return None
-        d, numbers = differences(self.words[k], words)
-        return d if numbers and d <= most else None
-
-    def judge(self, block: str) -> tuple[str | None, float, int]:
-        """Licence, saving and differing words; without a licence those of the template that saves the most."""
-        ranked, words = self.ranked(block), _WORD.findall(block.lower())
+        which = range(len(self.names)) if which is None else which
+        return sorted(((1 - len(self.given[k].compress(data)) / alone, k) for k in which), key=lambda x: (-x[0], -len(self.words[x[1]]), x[1]))
+
+    def possible(self, words: list[str]) -> list[int]:
+        """Templates that may hold: each of their words that the block doesn't have costs one edit at least."""
         known = set(words)
-        for saving, k in ranked:
-            d = self.holds(k, words, known)
-            if d is not None:
-                return self.names[k], saving, d
-        saving, k = ranked[0]
-        return None, saving, differences(self.words[k], words)[0]
-
-    def licenses(self, words: list[str]) -> dict[str, int]:
-        """Every licence that holds among the words, and how many words differ."""
-        known, out = set(words), {}
-        for k, name in enumerate(self.names):
-            d = self.holds(k, words, known)
-            if d is not None:
-                out[name] = min(d, out.get(name, d))
-        return out
+        return [k for k, own in enumerate(self.words) if sum(w not in known for w in own) <= len(own) // WORDS_FOR_ONE]
+
+    def judge(self, words: list[str]) -> tuple[tuple[tuple[str, int, int, int], ...], float]:
+        """What holds: (name, differing words, first word, end) each, and the saving of the first, or the best one where none does."""
+        left, found, first = list(words), [], None
+        while True:
+            some = set(self.possible(left))
+            if first is not None and not some:
+                return tuple(found), first
+            ranked = self.ranked(left, None if first is None else sorted(some))
+            for saving, k in ranked:
+                if k in some:
+                    d, a, b = aligned(self.words[k], left)
+                    if d <= len(self.words[k]) // WORDS_FOR_ONE:
+                        found.append((self.names[k], d, a, b))
+                        left[a:b] = [_GONE] * (b - a)
+                        first = saving if first is None else first
+                        break
+            else:
+                return tuple(found), ranked[0][0] if first is None else first
 
 
 @lru_cache(2)
@@ -149,28 +140,42 @@ def _loaded(templates) -> Templates:
     return Templates(templates)
 
 
-@lru_cache(20_000)
+@lru_cache(2_000)
 def _judged(templates, block: str):
-    return _loaded(templates).judge(block)
+    """A block's bytes are bounded by its words, so those that are remembered are, too."""
+    return _loaded(templates).judge(block.split(" "))
+
+
+def notices(text: str, templates=TEMPLATES) -> tuple[int, list[tuple[str, int]], float | None]:
+    """How many blocks the text has, its notices (licence and differing words), and the best saving."""
+    found: dict[tuple[str, int], tuple[int, int]] = {}
+    best, own = None, blocks(text, _loaded(templates).reach)
+    for at, words in own:
+        held, saving = _judged(templates, " ".join(words))
+        best = saving if best is None else max(best, saving)
+        for name, d, a, b in held:
+            # of one notice that two blocks have, the part that both share names it
+            same = next((k for k, (end, _) in found.items() if k[0] == name and k[1] < at + b and at + a < end), None)
+            if same is None:
+                found[name, at + a] = (at + b, d)
+            elif d < found[same][1]:
+                found[same] = (found[same][0], d)
+    return len(own), sorted((name, d) for (name, _), (_, d) in found.items()), best
 
 
 def _scan(templates):
     def scan(batches):
-        loaded = _loaded(templates)
         for b in batches:
-            rows = []
-            for text in b["text"].to_pylist():
-                own = blocks(text) if text else []
-                found = [loaded.licenses(words) for words in runs(text, loaded.reach)] if own else []
-                rows.append((len(own), sorted({n for x in found for n in x}), max((_judged(templates, x)[1] for x in own), default=None), sum(d for x in found for d in x.values())))
-            n, names, saving, differ = zip(*rows, strict=True) if rows else ((), (), (), ())
-            yield pa.record_batch([b["doc_id"], pa.array(n, pa.int64()), pa.array([",".join(x) or None for x in names], pa.string()), pa.array(saving, pa.float64()), pa.array(differ, pa.int64())], names=["doc_id", "n_blocks", "licenses", "best_saving", "n_differences"])
+            rows = [notices(text, templates) if text else (0, [], None) for text in b["text"].to_pylist()]
+            names = [",".join(sorted({n for n, _ in held})) or None for _, held, _ in rows]
+            columns = [b["doc_id"], pa.array([n for n, _, _ in rows], pa.int64()), pa.array(names, pa.string()), pa.array([s for _, _, s in rows], pa.float64()), pa.array([sum(d for _, d in held) for _, held, _ in rows], pa.int64()), pa.array([len(held) for _, held, _ in rows], pa.int64())]
+            yield pa.record_batch(columns, names=["doc_id", "n_blocks", "licenses", "best_saving", "n_differences", "n_notices"])
 
     return scan
 
 
 def license_scan(docs: DataFrame, templates=TEMPLATES, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_blocks, licenses (sorted, joined by commas; null: none), best_saving, n_differences for each row of docs."""
+    """doc_id, n_blocks, licenses (sorted, joined by commas; null: none), best_saving, n_differences, n_notices for each row of docs."""
     session(docs.sparkSession)
     some = F.when(F.col(text).rlike(CUE), F.col(text)).alias("text")
-    return docs.select(F.col(key).cast("long").alias("doc_id"), some).mapInArrow(_scan(templates), "doc_id long, n_blocks long, licenses string, best_saving double, n_differences long")
+    return docs.select(F.col(key).cast("long").alias("doc_id"), some).mapInArrow(_scan(templates), "doc_id long, n_blocks long, licenses string, best_saving double, n_differences long, n_notices long")
