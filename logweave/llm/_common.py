@@ -68,9 +68,9 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def chunked(docs: DataFrame, chunks: int, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """(chunk, doc_id, body) and the columns to carry along, as carried_0, ...: documents dealt by their id's hash, so that a chunk is the same however often it is computed."""
+    """(chunk, doc_id, body) and the columns to carry along, as carried_0, ...: documents dealt by their id's and text's hash, so that a chunk is the same however often it is computed and many rows of one id (or none) don't meet in one."""
     return docs.select(
-        F.pmod(F.xxhash64(F.col(key)), F.lit(chunks)).cast("int").alias("chunk"),
+        F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(chunks)).cast("int").alias("chunk"),
         F.col(key).cast("long").alias("doc_id"),
         F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"),
         *(F.col(c).alias(f"carried_{k}") for k, c in enumerate(carry)),
