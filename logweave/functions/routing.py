@@ -12,10 +12,15 @@ _BASIS, _PRIME, _MASK = 2166136261, 16777619, 4294967295
 
 def fnv1a(key: Column) -> Column:
     """32-bit FNV-1a of the key's UTF-8 bytes, as a long. Each step fits into 63 bits."""
-    digits = F.hex(key.cast("string").cast("binary"))
-    at = F.filter(F.sequence(F.lit(0), F.octet_length(key.cast("string"))), lambda i: i > 0)
-    byte = F.transform(at, lambda i: F.conv(F.substring(digits, 2 * i - 1, F.lit(2)), 16, 10).cast("long"))
-    return F.aggregate(byte, F.lit(_BASIS).cast("long"), lambda h, x: (h.bitwiseXOR(x) * F.lit(_PRIME).cast("long")).bitwiseAND(F.lit(_MASK).cast("long")))
+    text = key.cast("string")
+    step = lambda h, x: (h.bitwiseXOR(x) * F.lit(_PRIME).cast("long")).bitwiseAND(F.lit(_MASK).cast("long"))
+    begin, size = F.lit(_BASIS).cast("long"), F.octet_length(text)
+    places = F.filter(F.sequence(F.lit(0), size), lambda i: i > 0)
+    # one character is one byte in most keys; the others go through their bytes' digits
+    plain = F.aggregate(places, begin, lambda h, i: step(h, F.ascii(F.substring(text, i, F.lit(1))).cast("long")))
+    digits = F.hex(text.cast("binary"))
+    other = F.aggregate(places, begin, lambda h, i: step(h, F.conv(F.substring(digits, 2 * i - 1, F.lit(2)), 16, 10).cast("long")))
+    return F.when(size == F.length(text), plain).otherwise(other)
 
 
 def pick_shard(key: Column, shards: int = 0) -> Column:

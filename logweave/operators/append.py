@@ -14,19 +14,23 @@ def number_entries(df: DataFrame, seq: str = "event_id", shard: str = "shard_id"
     """df with entry_number: 0, 1, ... in the order of seq within each shard, from base (shard, next_entry) on where given.
 
     A shard may hold any share of the rows: it is numbered in chunks of its sequence, each by a task of its own, and the
-    chunks' counts, one row each, give every chunk its first number.
+    chunks' counts, one row each, give every chunk its first number. Every row gets a number: a null seq or shard is an error,
+    as a record without a place can't be appended; of equal seqs the order is that of the other columns' hash.
     """
-    rows = df.withColumn("__chunk", F.floor(F.col(seq) / CHUNK))
+    lost = F.col(seq).isNull() | F.col(shard).isNull()
+    place = F.when(lost, F.raise_error(F.lit(f"a record without {seq} or {shard}")).cast("long")).otherwise(F.col(seq).cast("long"))
+    rows = df.withColumn("__seq", place).withColumn("__chunk", F.expr(f"__seq div {CHUNK} - cast(__seq < 0 and __seq % {CHUNK} <> 0 as bigint)"))
     counts = rows.groupBy(shard, "__chunk").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(shard).orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select(shard, "__chunk", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__first"))
-    local = F.row_number().over(Window.partitionBy(shard, "__chunk").orderBy(seq)) - 1
+    tie = F.xxhash64(*(F.col(f"`{c}`") for c, t in df.dtypes if "map<" not in t))
+    local = F.row_number().over(Window.partitionBy(shard, "__chunk").orderBy("__seq", tie)) - 1
     out = rows.withColumn("__local", local).join(first, [shard, "__chunk"])
     number = F.col("__first") + F.col("__local")
     if base is not None:
         out = out.join(base.select(shard, F.col("next_entry").alias("__next")), shard, "left")
         number = number + F.coalesce("__next", F.lit(0))
-    return out.withColumn("entry_number", number.cast("long")).drop("__chunk", "__local", "__first", "__next")
+    return out.withColumn("entry_number", number.cast("long")).drop("__seq", "__chunk", "__local", "__first", "__next")
 
 
 def stored_size(payload: Column) -> Column:

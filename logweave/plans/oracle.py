@@ -9,7 +9,7 @@ ev as (select event_id, ts, e.user_id, event_type, value, hash, (hash % 16)::int
 log as (select *, row_number() over (partition by shard_id order by event_id) - 1 as entry_number, 12 + strlen(payload) as stored_size from ev),
 heads as (select shard_id, max(entry_number) + 1 as n from log group by shard_id),
 off as (select 'fast' as "group", shard_id, floor(n * 0.9)::bigint as "offset" from heads union all select 'slow', shard_id, floor(n * 0.25)::bigint from heads),
-acks as (select if(user_id % 2 = 0, 'even', 'odd') as "group", shard_id, entry_number, event_id as seq from log where event_id % 3 = 0),
+acks as (select if(user_id % 2 = 0, 'even', 'odd') as "group", shard_id, entry_number, event_id as seq from log where event_type = 'click'),
 lags as (select g as "group", h.shard_id, n as durable_entry, coalesce("offset", 0) as "offset", n - coalesce("offset", 0) as lag
   from heads h cross join (values ('fast'), ('slow'), ('new')) v(g) left join off o on o.shard_id = h.shard_id and o."group" = g)
 """
@@ -29,11 +29,42 @@ clock as (select max(ts) as now from events)
 )
 _AGE = "epoch(now - end_time)::bigint"
 _BY_AGE = f"""select shard_id, segment_id, not is_current and {_AGE} > 864000 as old, max(not is_current and {_AGE} > 1728000) over (partition by shard_id order by segment_id) as forced from man, clock"""
-_SHARD_SIZE = """select *, not is_current and total - before > 10000 and rank <= others - 1 as goes from (
-  select *, sum(bytes) over (partition by shard_id) as total, row_number() over w as rank,
-    coalesce(sum(if(is_current, 0, bytes)) over (partition by shard_id order by is_current, end_time, segment_id rows between unbounded preceding and 1 preceding), 0) as before,
-    sum((not is_current)::int) over (partition by shard_id) as others
-  from man window w as (partition by shard_id order by is_current, end_time, segment_id))"""
+_SHARD_SIZE = """select *, not is_current and total - before > 10000 and place <= files - 1 as goes from (
+  select *, sum(bytes) over (partition by shard_id) as total, row_number() over w as place, count(*) over (partition by shard_id) as files,
+    coalesce(sum(if(is_current, 0, bytes)) over (partition by shard_id order by end_time, segment_id rows between unbounded preceding and 1 preceding), 0) as before
+  from man window w as (partition by shard_id order by end_time, segment_id))"""
+# A pass as the log's upkeep does it, file by file: by age, then by the shard's size, then by the size of all.
+_PASS = """first as (
+  select *, row_number() over w - 1 as i, count(*) over (partition by shard_id) as n, not is_current and age > 1728000 as forced, (select min("offset") from off o where o.shard_id = a.shard_id) as low
+  from (select *, epoch(now - end_time)::bigint as age from man, clock) a window w as (partition by shard_id order by segment_id)),
+by_age as (
+  select shard_id, segment_id, i, n, bytes, entries, start_time, end_time, is_current, forced as lifted, 0::bigint as deleted, false as aged from first where i = 0
+  union all
+  select f.shard_id, f.segment_id, f.i, f.n, f.bytes, f.entries, f.start_time, f.end_time, f.is_current, b.lifted or f.forced, b.deleted + goes::int, goes
+  from by_age b join first f on f.shard_id = b.shard_id and f.i = b.i + 1,
+    lateral (select not f.is_current and (f.age > 864000 or f.forced) and f.i < f.n - 1 and (b.lifted or f.forced or f.low is null or f.start_entry + f.entries - 1 < f.low) and f.n - 1 - b.deleted > 2 as goes)),
+by_size as (
+  select *, not aged and not is_current and total - before > 20000 and place <= kept - 2 as sized from (
+    select *, sum(bytes) over (partition by shard_id) as total, sum((not aged)::int) over (partition by shard_id) as kept, sum((not aged)::int) over (partition by shard_id order by end_time, segment_id) as place,
+      coalesce(sum(if(is_current or aged, 0, bytes)) over (partition by shard_id order by end_time, segment_id rows between unbounded preceding and 1 preceding), 0) as before
+    from by_age)),
+passed as (
+  select *, case when aged then 'age' when sized then 'shard size' when not is_current and rest - ahead > 200000 then 'total size' end as reason from (
+    select *, sum(if(aged or sized, 0, bytes)) over () as rest,
+      coalesce(sum(if(aged or sized or is_current, 0, bytes)) over (order by end_time, shard_id, segment_id rows between unbounded preceding and 1 preceding), 0) as ahead
+    from by_size))"""
+_THIN = """nodes as (select shard_id, entry_number, segment_id, off, row_number() over (partition by shard_id order by entry_number) as k from fold where entry_number % 10 = 0),
+thin as (
+  select shard_id, 1::bigint as k, [entry_number] as kept from nodes where k = 1
+  union all
+  select t.shard_id, n.k, if(len(t.kept) + 1 >= 10, list_filter(list_append(t.kept, n.entry_number), lambda x, i: i % 2 = 1), list_append(t.kept, n.entry_number))
+  from thin t join nodes n on n.shard_id = t.shard_id and n.k = t.k + 1),
+kept as (select shard_id, unnest(kept) as entry_number from thin where (shard_id, k) in (select (shard_id, max(k)) from nodes group by shard_id))"""
+_BATCHES = """sized as (select shard_id, event_id // 64 as b, sum(stored_size)::bigint as size, row_number() over (partition by shard_id order by event_id // 64) as k from log group by shard_id, event_id // 64),
+whole as (
+  select shard_id, b, k, size, 0::bigint as segment_id, 0::bigint as off from sized where k = 1
+  union all
+  select s.shard_id, s.b, s.k, s.size, w.segment_id + (w.off + w.size >= 4096)::int, if(w.off + w.size >= 4096, 0, w.off + w.size) from whole w join sized s on s.shard_id = w.shard_id and s.k = w.k + 1)"""
 _DIAG = """diag as (
   select m.shard_id, list_filter([if(idle_s > 300, 'no recent writes', null), if(error_rate > 1.0, 'high error rate', null), if(error_age_s < 60, 'recent errors', null),
     if(m.shard_id % 4 > 0, 'file rotation failures', null), if(max_lag > 100000, 'consumer lag too high', null)], lambda x: x is not null) as reasons
@@ -73,10 +104,12 @@ def oracle_sql() -> dict[str, str]:
         "offset_upsert": "select \"group\", shard_id, \"offset\" + (\"group\" = 'slow' and shard_id < 8)::int as \"offset\" from off",
         "ack_gap": 'select * from (select "group", shard_id, entry_number, lag(entry_number) over (partition by "group", shard_id order by seq) as previous from acks) where entry_number > coalesce(previous, -1) + 1',
         "offset_progress": 'select "group", shard_id, seq, max(entry_number + 1) over (partition by "group", shard_id order by seq) as "offset" from acks',
+        "segment_assign_batches": """$batches select l.shard_id, entry_number, segment_id, (off + sum(stored_size) over (partition by l.shard_id, w.b order by entry_number))::bigint - stored_size as offset_in_segment
+  from log l join whole w on w.shard_id = l.shard_id and w.b = l.event_id // 64""",
         "consumer_lag": "select * from lags",
         "lag_summary": 'select "group", sum(lag)::bigint as lag, max(lag) as max_lag from lags group by 1',
-        "dedup_filter": "select shard_id, entry_number, event_id from log where entry_number % 7 <> 0",
-        "dedup_evict": "select log.shard_id, entry_number from log join off on off.shard_id = log.shard_id and \"group\" = 'fast' where entry_number % 2 = 0 and entry_number >= \"offset\" - 100",
+        "dedup_filter": "select shard_id, entry_number, event_id from log where event_type <> 'view'",
+        "dedup_evict": "select log.shard_id, entry_number from log join off on off.shard_id = log.shard_id and \"group\" = 'fast' where entry_number >= \"offset\" - 100",
         "compress_class": "select shard_id, if(strlen(payload) >= 40, 'compressed', 'skipped') as class, count(*) as n, sum(strlen(payload))::bigint as bytes from log group by all",
         "compress_ratio": """select shard_id, original, stored, floor((original - stored) * 10000 / original)::bigint as saved_bp, round(original / stored, 6) as ratio, round(stored / original, 6) as stored_share from (
   select shard_id, sum(strlen(payload))::bigint as original, sum(if(strlen(payload) >= 40, strlen(payload) // 2, strlen(payload)))::bigint as stored from log group by 1)""",
@@ -101,9 +134,9 @@ def oracle_sql() -> dict[str, str]:
         "segment_assign": "select shard_id, entry_number, segment_id from fold",
         "byte_offsets": "select shard_id, entry_number, off as offset_in_segment from fold",
         "segment_manifest": "select * from man",
-        "locate_entry": "select f.shard_id, f.entry_number, f.segment_id, start_entry from fold f join seg s on s.shard_id = f.shard_id and s.segment_id = f.segment_id where entry_number % 37 = 0",
+        "locate_entry": "select f.shard_id, f.entry_number, f.segment_id, start_entry from fold f join seg s on s.shard_id = f.shard_id and s.segment_id = f.segment_id",
         "sparse_index": "select shard_id, entry_number, segment_id, off as offset_in_segment from fold where entry_number % 100 = 0",
-        "asof_position": "select w.shard_id, w.entry_number, i.entry_number as node_entry, i.segment_id, i.off as offset_in_segment from (select * from fold where entry_number % 37 = 5) w asof join (select * from fold where entry_number % 100 = 0) i on w.shard_id = i.shard_id and w.entry_number >= i.entry_number",
+        "asof_position": "select w.shard_id, w.entry_number, i.entry_number as node_entry, i.segment_id, i.off as offset_in_segment from fold w asof join (select * from fold where entry_number % 100 = 0) i on w.shard_id = i.shard_id and w.entry_number >= i.entry_number",
         "shard_stats": "select m.*, a.\"offset\" as fast, b.\"offset\" as slow from (select shard_id, sum(entries)::bigint as total_entries, sum(bytes)::bigint as total_bytes, min(start_time) as oldest, max(end_time) as newest, count(*) as files from seg group by 1) m join off a on a.shard_id = m.shard_id and a.\"group\" = 'fast' join off b on b.shard_id = m.shard_id and b.\"group\" = 'slow'",
         "client_stats": "select (select sum(n)::bigint from heads) as total_entries, (select count(*) from heads) as active_shards, (select sum(bytes)::bigint from seg) as total_bytes, (select count(*) from seg) as total_files, max(lag) as max_lag, sum(greatest(lag, 0))::bigint as lag_sum, count(distinct \"group\") filter (lag > 0) as lagging_groups from lags",
         "retention_stats": "select shard_id, sum(bytes)::bigint as bytes, count(*) as files, min(start_time) as oldest, max(end_time) as newest from seg group by rollup (shard_id)",
@@ -112,6 +145,11 @@ def oracle_sql() -> dict[str, str]:
         "group_stats": 'select h.shard_id, h.n as durable_entry, files, "group", "offset", h.n - "offset" as lag from heads h join (select shard_id, count(*) as files from seg group by 1) using (shard_id) join off using (shard_id)',
         "retain_reader_guard": f"select shard_id, segment_id, old and segment_id not in (lo, hi) as goes from (select *, min(segment_id) over (partition by shard_id) as lo, max(segment_id) over (partition by shard_id) as hi from ({_BY_AGE}))",
         "retain_min_files": f"select shard_id, segment_id, old and rank <= greatest(others - 2, 0) as goes from (select shard_id, segment_id, old, sum(old::int) over (partition by shard_id order by segment_id) as rank, count(*) over (partition by shard_id) - 1 as others from ({_BY_AGE}))",
+        "asof_pruned": f"$thin select w.shard_id, w.entry_number, i.entry_number as node_entry, i.segment_id, i.off as offset_in_segment from fold w asof join (select nodes.* from nodes join kept using (shard_id, entry_number)) i on w.shard_id = i.shard_id and w.entry_number >= i.entry_number",
+        "index_prune": "$thin select shard_id, entry_number from kept",
+        "retain_pass": "$pass select shard_id, segment_id, reason, reason is not null as goes from passed",
+        "retain_metrics": """$pass select shard_id, count(*) filter (reason is not null) as files_deleted, coalesce(sum(entries) filter (reason is not null), 0)::bigint as entries_deleted,
+  coalesce(sum(bytes) filter (reason is not null), 0)::bigint as bytes_reclaimed, min(start_time) filter (reason is null) as oldest_entry from passed group by 1""",
         "retain_shard_size": f"select shard_id, segment_id, goes from ({_SHARD_SIZE})",
         "retain_global_size": "select shard_id, segment_id, not is_current and total - before > 200000 as goes from (select *, sum(bytes) over () as total, coalesce(sum(if(is_current, 0, bytes)) over (order by end_time, shard_id, segment_id rows between unbounded preceding and 1 preceding), 0) as before from man)",
         "retain_apply": f"select shard_id, segment_id, start_entry, entries from ({_SHARD_SIZE}) where not goes",
@@ -119,7 +157,11 @@ def oracle_sql() -> dict[str, str]:
     }
     out = {}
     for name, sql in log.items():
-        extra = {"$diag": _DIAG, "$state": _STATE}
-        head = next((k for k in extra if sql.startswith(k)), None)
-        out[name] = f"{_LOG}, {extra[head]} {sql[len(head) :]}" if head else f"{_LOG} {sql}"
-    return out | {name: f"{_SEG} {sql}" for name, sql in seg.items()}
+        out[name] = _whole(_LOG, sql)
+    return out | {name: _whole(_SEG, sql) for name, sql in seg.items()}
+
+
+def _whole(base: str, sql: str) -> str:
+    extra = {"$diag": _DIAG, "$state": _STATE, "$pass": _PASS, "$thin": _THIN, "$batches": _BATCHES}
+    head = next((k for k in extra if sql.startswith(k)), None)
+    return f"{base}, {extra[head]} {sql[len(head) :]}" if head else f"{base} {sql}"

@@ -13,20 +13,19 @@ from pyspark.sql import functions as F
 
 from logweave.functions import routing
 from logweave.operators import append, browse, offsets, recovery, retention, segments, stats
+from logweave.plans import store
+from logweave.plans.store import SHARDS
 
-SHARDS, GROUPS, INTERVAL = 16, ["fast", "slow", "new"], 100
+GROUPS, INTERVAL = ["fast", "slow", "new"], 100
 Query = Callable[[SparkSession, str], DataFrame]
 
 
 def log(spark: SparkSession, d: str) -> DataFrame:
-    events = spark.read.parquet(f"{d}/events.parquet").select("event_id", "ts", "user_id", "event_type", "value", "props")
-    payload = F.concat_ws(":", "event_type", "props")
-    rows = events.select("event_id", "ts", "user_id", "event_type", "value", routing.pick_shard(F.col("user_id").cast("string"), SHARDS).alias("shard_id"), payload.alias("payload"), append.stored_size(payload).alias("stored_size"))
-    return append.number_entries(rows)
+    return store.table(spark, d, "entries").select("event_id", "ts", "user_id", "event_type", "value", "payload", "stored_size", "entry_number", "shard_id")
 
 
 def heads(spark, d):
-    return append.heads(log(spark, d))
+    return store.table(spark, d, "heads")
 
 
 def group_offsets(spark, d):
@@ -35,17 +34,17 @@ def group_offsets(spark, d):
 
 
 def acks(spark, d):
-    """Every third event is acknowledged by the group of its user's parity, in the order of its value."""
-    rows = log(spark, d).where("event_id % 3 = 0")
+    """Clicks acknowledge their entry for the group of their user's parity, in the order of the events."""
+    rows = log(spark, d).where("event_type = 'click'")
     return rows.select(F.when(F.col("user_id") % 2 == 0, "even").otherwise("odd").alias("group"), "shard_id", "entry_number", F.col("event_id").alias("seq"))
 
 
 def assigned(spark, d):
-    return segments.assign_segments(log(spark, d))
+    return store.table(spark, d, "entries").select("shard_id", "entry_number", "ts", "stored_size", "segment_id", "offset_in_segment")
 
 
 def files(spark, d):
-    return segments.manifest(assigned(spark, d))
+    return store.table(spark, d, "manifest")
 
 
 def now(spark, d):
@@ -53,7 +52,7 @@ def now(spark, d):
 
 
 def route_shard(spark, d):
-    return log(spark, d).select("event_id", routing.fnv1a(F.col("user_id").cast("string")).alias("hash"), "shard_id")
+    return store.routed(spark, d).select("event_id", routing.fnv1a(F.col("user_id").cast("string")).alias("hash"), "shard_id")
 
 
 def stream_name(spark, d):
@@ -74,7 +73,7 @@ def route_owned(spark, d):
 
 
 def append_ids(spark, d):
-    return log(spark, d).select("event_id", "shard_id", "entry_number", routing.message_id(F.col("shard_id"), F.col("entry_number")).alias("message_id"))
+    return append.number_entries(store.routed(spark, d).select("event_id", "shard_id")).select("event_id", "shard_id", "entry_number", routing.message_id(F.col("shard_id"), F.col("entry_number")).alias("message_id"))
 
 
 def message_id_roundtrip(spark, d):
@@ -91,40 +90,35 @@ def durable_heads(spark, d):
 
 
 def list_recent(spark, d):
-    rows = log(spark, d)
-    return browse.list_recent(rows, append.heads(rows), 10).select("shard_id", "entry_number", "event_id", "payload")
+    return browse.list_recent(log(spark, d), heads(spark, d), 10).select("shard_id", "entry_number", "event_id", "payload")
 
 
 def scan_all(spark, d):
-    rows = log(spark, d)
-    return browse.scan(rows, append.heads(rows, 5)).select("shard_id", "entry_number", "event_id")
+    return browse.scan(log(spark, d), durable_heads(spark, d)).select("shard_id", "entry_number", "event_id")
 
 
 def scan_limit(spark, d):
-    rows = log(spark, d)
-    return browse.scan(rows, append.heads(rows), 10).select("shard_id", "entry_number", "event_id")
+    return browse.scan(log(spark, d), heads(spark, d), 10).select("shard_id", "entry_number", "event_id")
 
 
 def point_lookup(spark, d):
     rows = log(spark, d)
-    wanted = append.heads(rows).select("shard_id", F.explode(F.array(F.lit(0).cast("long"), F.floor(F.col("next_entry") / 2).cast("long"), F.col("next_entry"))).alias("entry_number"))
+    wanted = heads(spark, d).select("shard_id", F.explode(F.array(F.lit(0).cast("long"), F.floor(F.col("next_entry") / 2).cast("long"), F.col("next_entry"))).alias("entry_number"))
     return browse.point_lookup(rows, wanted).select("shard_id", "entry_number", "event_id", "payload")
 
 
 def read_batch(spark, d):
-    rows = log(spark, d)
-    return browse.from_offsets(rows, append.heads(rows), group_offsets(spark, d), "fast", 20).select("shard_id", "entry_number", "event_id")
+    return browse.from_offsets(log(spark, d), heads(spark, d), group_offsets(spark, d), "fast", 20).select("shard_id", "entry_number", "event_id")
 
 
 def read_from_offset(spark, d):
     rows = log(spark, d)
-    first = append.heads(rows).select("shard_id", F.floor(F.col("next_entry") / 2).cast("long").alias("first_entry"))
-    return browse.from_offsets(rows, append.heads(rows), group_offsets(spark, d), "slow", earliest=first).select("shard_id", "entry_number", "event_id")
+    first = heads(spark, d).select("shard_id", F.floor(F.col("next_entry") / 2).cast("long").alias("first_entry"))
+    return browse.from_offsets(rows, heads(spark, d), group_offsets(spark, d), "slow", earliest=first).select("shard_id", "entry_number", "event_id")
 
 
 def read_quota(spark, d):
-    rows = log(spark, d)
-    return browse.read(rows, append.heads(rows), group_offsets(spark, d), "fast", 100).select("shard_id", "entry_number", "event_id")
+    return browse.read(log(spark, d), heads(spark, d), group_offsets(spark, d), "fast", 100).select("shard_id", "entry_number", "event_id")
 
 
 def discover_assign(spark, d):
@@ -181,16 +175,23 @@ def lag_summary(spark, d):
 
 def dedup_filter(spark, d):
     rows = log(spark, d).select("shard_id", "entry_number", "event_id")
-    return offsets.filter_duplicates(rows, rows.where("entry_number % 7 = 0"))
+    processed = log(spark, d).where("event_type = 'view'").select("shard_id", "entry_number")
+    return offsets.filter_duplicates(rows, processed)
 
 
 def dedup_evict(spark, d):
-    rows = log(spark, d).where("entry_number % 2 = 0").select("shard_id", "entry_number")
+    rows = log(spark, d).select("shard_id", "entry_number")
     return offsets.evict(rows, group_offsets(spark, d), "fast")
 
 
 def segment_assign(spark, d):
-    return assigned(spark, d).select("shard_id", "entry_number", "segment_id")
+    return segments.assign_segments(log(spark, d)).select("shard_id", "entry_number", "segment_id")
+
+
+def segment_assign_batches(spark, d):
+    """Batches of 64 events lie whole in a segment."""
+    rows = log(spark, d).withColumn("batch_id", F.expr("event_id div 64"))
+    return segments.assign_segments(rows, batch="batch_id").select("shard_id", "entry_number", "segment_id", "offset_in_segment")
 
 
 def byte_offsets(spark, d):
@@ -198,12 +199,11 @@ def byte_offsets(spark, d):
 
 
 def segment_manifest(spark, d):
-    return files(spark, d)
+    return segments.manifest(assigned(spark, d))
 
 
 def locate_entry(spark, d):
-    wanted = heads(spark, d).select("shard_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("next_entry"), F.lit(37).cast("long"))).alias("entry_number"))
-    return segments.locate(wanted, files(spark, d))
+    return segments.locate(log(spark, d).select("shard_id", "entry_number"), files(spark, d))
 
 
 def sparse_index(spark, d):
@@ -212,7 +212,15 @@ def sparse_index(spark, d):
 
 def asof_position(spark, d):
     own = assigned(spark, d)
-    return segments.as_of(own.where("entry_number % 37 = 5").select("shard_id", "entry_number"), segments.sparse_index(own, INTERVAL), INTERVAL)
+    return segments.as_of(own.select("shard_id", "entry_number"), segments.sparse_index(own, INTERVAL))
+
+
+def asof_pruned(spark, d):
+    """The same in an index that has been thinned by halvings."""
+    own = assigned(spark, d)
+    nodes = segments.sparse_index(own, 10)
+    thin = nodes.join(segments.prune_index(nodes, 5), ["shard_id", "entry_number"])
+    return segments.as_of(own.select("shard_id", "entry_number"), thin)
 
 
 def index_prune(spark, d):
@@ -309,6 +317,17 @@ def retain_shard_size(spark, d):
     return retention.by_shard_size(files(spark, d), 10_000, 1).select("shard_id", "segment_id", "goes")
 
 
+_RULES = retention.Rules(max_age_s=10 * 86400, force_after_s=20 * 86400, min_files=2, max_shard_size=20_000, max_total_size=200_000)
+
+
+def retain_pass(spark, d):
+    return retention.plan(files(spark, d), group_offsets(spark, d), now(spark, d), _RULES, 1).select("shard_id", "segment_id", "reason", "goes")
+
+
+def retain_metrics(spark, d):
+    return retention.metrics(retention.plan(files(spark, d), group_offsets(spark, d), now(spark, d), _RULES, 1))
+
+
 def retain_global_size(spark, d):
     return retention.by_total_size(files(spark, d), 200_000).select("shard_id", "segment_id", "goes")
 
@@ -339,10 +358,7 @@ def rebuild_needed(spark, d):
 
 def _streamed(spark, d):
     """The log as a stream: written to the shared folder and read from there."""
-    import uuid
-
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints"
-    folder = f"{base}/log-{uuid.uuid4().hex}"
+    folder = store.shared_dir(spark, "stream")
     rows = log(spark, d).select("shard_id", "entry_number", "event_id", "ts")
     rows.write.parquet(f"{folder}/log")
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/log"), folder
@@ -383,9 +399,9 @@ def session_counts(spark, d):
 _QUERIES: list[Query] = [
     route_shard, stream_name, parse_stream, owned_shards, route_owned, append_ids, message_id_roundtrip, shard_len, durable_heads, list_recent, scan_all, scan_limit, point_lookup,
     read_batch, read_from_offset, read_quota, discover_assign, assignment_coverage, ack_cumulative, ack_range, reset_offset_neg, offset_upsert, ack_gap, offset_progress,
-    consumer_lag, lag_summary, dedup_filter, dedup_evict, segment_assign, byte_offsets, segment_manifest, locate_entry, sparse_index, asof_position, index_prune,
+    consumer_lag, lag_summary, dedup_filter, dedup_evict, segment_assign, segment_assign_batches, byte_offsets, segment_manifest, locate_entry, sparse_index, asof_position, asof_pruned, index_prune,
     compress_class, compress_ratio, shard_stats, client_stats, retention_stats, shard_diagnostics, unhealthy_shards, health, error_rate, batch_metrics, group_stats, all_streams, slot_stats,
-    retain_age, retain_protect, retain_reader_guard, retain_min_files, retain_shard_size, retain_global_size, retain_apply, rebuild_index, state_validate, rebuild_needed,
+    retain_age, retain_protect, retain_reader_guard, retain_min_files, retain_shard_size, retain_pass, retain_metrics, retain_global_size, retain_apply, rebuild_index, state_validate, rebuild_needed,
     stream_process, stream_dedup, tumbling_counts, sliding_counts, session_counts,
 ]
 
