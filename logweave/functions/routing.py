@@ -11,8 +11,8 @@ _BASIS, _PRIME, _MASK = 2166136261, 16777619, 4294967295
 
 
 def fnv1a(key: Column) -> Column:
-    """32-bit FNV-1a of the key's UTF-8 bytes, as a long. Each step fits into 63 bits."""
-    text = key.cast("string")
+    """32-bit FNV-1a of the key's UTF-8 bytes, as a long; a null key counts as empty. Each step fits into 63 bits."""
+    text = F.coalesce(key.cast("string"), F.lit(""))
     step = lambda h, x: (h.bitwiseXOR(x) * F.lit(_PRIME).cast("long")).bitwiseAND(F.lit(_MASK).cast("long"))
     begin, size = F.lit(_BASIS).cast("long"), F.octet_length(text)
     places = F.filter(F.sequence(F.lit(0), size), lambda i: i > 0)
@@ -48,6 +48,29 @@ def stream_name(prefix: str, shard: Column) -> Column:
     return F.format_string("%s:%04d", F.lit(prefix), shard)
 
 
+def streams(prefix: str, shards: int = 0) -> list[str]:
+    """The names of all shards' streams, in order; 0 shards count as 16."""
+    return [f"{prefix}:{s:04d}" for s in range(shards or DEFAULT_SHARDS)]
+
+
+def pick_stream(prefix: str, key: Column, shards: int = 0) -> Column:
+    return stream_name(prefix, pick_shard(key, shards))
+
+
+#: Fixed values of the offset table's slots: how many, and how many bytes of a group's name a slot holds.
+SLOTS, NAME = 512, 47
+
+
+def slot_name(group: Column) -> Column:
+    """A group's name as a slot holds it: up to its first zero byte, at most 47 bytes."""
+    return F.substring(F.split(group, "\u0000").getItem(0).cast("binary"), 1, NAME).cast("string")
+
+
+def slot(group: Column) -> Column:
+    """The slot where the search for a group begins; further ones follow it."""
+    return F.pmod(fnv1a(group), F.lit(SLOTS).cast("long")).cast("int")
+
+
 def parse_stream(name: Column) -> Column:
     """The shard in a stream's name: after ``:shard:`` any decimal, else exactly four digits at the end; null for others."""
     long, four = F.regexp_extract(name, r":shard:(\d+)$", 1), F.regexp_extract(name, r":(\d{4})$", 1)

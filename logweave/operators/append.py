@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +34,46 @@ def number_entries(df: DataFrame, seq: str = "event_id", shard: str = "shard_id"
     return out.withColumn("entry_number", number.cast("long")).drop("__seq", "__chunk", "__local", "__first", "__next")
 
 
+def _marks(every_s: float, every_entries: int):
+    """Appends come by shard and seq; what a task keeps are the last checkpoint's time and the entries since."""
+
+    def mark(batches):
+        shard, since, entries = None, 0.0, 0
+        for b in batches:
+            out = []
+            for s, at, n in zip(b["shard_id"].to_pylist(), b["at_s"].to_pylist(), b["entries"].to_pylist(), strict=True):
+                if s != shard:
+                    shard, since, entries = s, at, 0
+                entries += n
+                due = at - since > every_s or entries >= every_entries
+                if due:
+                    since, entries = at, 0
+                out.append((due, entries))
+            yield pa.record_batch([*b.columns, pa.array([o[0] for o in out], pa.bool_()), pa.array([o[1] for o in out], pa.int64())], names=[*b.schema.names, "checkpoint", "unsaved"])
+
+    return mark
+
+
+def checkpoints(appends: DataFrame, every_s: float, every_entries: int) -> DataFrame:
+    """appends (shard_id, seq, at_s, entries) with ``checkpoint``: whether the manifest is saved after it, and the entries that are unsaved then.
+
+    It is saved when more than every_s seconds have gone by since it last was (or since the shard's first append), or when so
+    many entries have come since. A fold in order, as segments are cut.
+    """
+    rows = appends.select("shard_id", F.col("seq").cast("long").alias("seq"), F.col("at_s").cast("double").alias("at_s"), F.col("entries").cast("long").alias("entries"))
+    schema = ", ".join(f"{n} {t}" for n, t in rows.dtypes) + ", checkpoint boolean, unsaved long"
+    return rows.repartition("shard_id").sortWithinPartitions("shard_id", "seq").mapInArrow(_marks(every_s, every_entries), schema)
+
+
+def write_requests(log: DataFrame, least: int = MIN_COMPRESS) -> DataFrame:
+    """What each append writes: log (shard_id, batch_id, entry_number, payload) -> entries, bytes, first and last number, compressed and skipped entries."""
+    size = F.octet_length("payload")
+    return log.groupBy("shard_id", "batch_id").agg(
+        F.count(F.lit(1)).alias("entries"), F.sum(stored_size(F.col("payload"))).alias("bytes"), F.min("entry_number").alias("first_entry"), F.max("entry_number").alias("last_entry"),
+        F.count_if(size >= least).alias("compressed"), F.count_if(size < least).alias("skipped"),
+    )
+
+
 def stored_size(payload: Column) -> Column:
     return (F.lit(HEADER) + F.octet_length(payload)).cast("long")
 

@@ -92,6 +92,14 @@ def from_offsets(log: DataFrame, heads: DataFrame, offsets: DataFrame, group: st
     return between(log, ends.select("shard_id", start.alias("low"), end.alias("high")))
 
 
+def quota(ranges: DataFrame, count: int) -> DataFrame:
+    """ranges (shard_id, low, high) cut so that they hold at most ``count`` entries, shards ascending, each drained before the next."""
+    waiting = F.greatest(F.col("high") - F.col("low"), F.lit(0))
+    before = Window.orderBy("shard_id").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard
+    left = F.greatest(F.lit(count) - F.coalesce(F.sum(waiting).over(before), F.lit(0)), F.lit(0))
+    return ranges.select("shard_id", "low", (F.col("low") + F.least(waiting, left)).alias("high"))
+
+
 def read(log: DataFrame, heads: DataFrame, offsets: DataFrame, group: str, count: int) -> DataFrame:
     """At most ``count`` entries over all shards, shards ascending, each drained before the next.
 
@@ -99,7 +107,4 @@ def read(log: DataFrame, heads: DataFrame, offsets: DataFrame, group: str, count
     """
     own = offsets.where(F.col("group") == group).select("shard_id", F.col("offset").alias("__offset"))
     ends = heads.select("shard_id", "durable_entry").join(own, "shard_id", "left").withColumn("__start", F.coalesce("__offset", F.lit(0)))
-    waiting = F.greatest(F.col("durable_entry") - F.col("__start"), F.lit(0))
-    before = Window.orderBy("shard_id").rowsBetween(Window.unboundedPreceding, -1)  # a row for each shard
-    left = F.greatest(F.lit(count) - F.coalesce(F.sum(waiting).over(before), F.lit(0)), F.lit(0))
-    return between(log, ends.select("shard_id", F.col("__start").alias("low"), (F.col("__start") + F.least(waiting, left)).alias("high")))
+    return between(log, quota(ends.select("shard_id", F.col("__start").alias("low"), F.col("durable_entry").alias("high")), count))

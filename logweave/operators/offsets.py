@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from logweave.functions import routing
+
 
 def ack(acks: DataFrame, heads: DataFrame, offsets: DataFrame) -> DataFrame:
     """group, shard_id, offset, acked: per shard the offset rises to the greatest id + 1, at most the durable head."""
@@ -40,6 +42,16 @@ def upsert(offsets: DataFrame, new: DataFrame) -> DataFrame:
     return new.select("group", "shard_id", "offset").unionByName(offsets.join(new, ["group", "shard_id"], "left_anti").select("group", "shard_id", "offset"))
 
 
+def merge_legacy(old: DataFrame, new: DataFrame) -> DataFrame:
+    """The offsets of both stores; where both have one, the new store's."""
+    return upsert(old, new)
+
+
+def slots(offsets: DataFrame) -> DataFrame:
+    """group, shard_id, offset with the group's name as it is stored and the slot where the search for it begins."""
+    return offsets.select("group", "shard_id", "offset", routing.slot_name(F.col("group")).alias("stored_name"), routing.slot(F.col("group")).alias("slot"))
+
+
 def lag(heads: DataFrame, offsets: DataFrame, groups: list[str]) -> DataFrame:
     """group, shard_id, durable_entry, offset, lag for each of the groups' names and each shard; a missing offset is 0."""
     every = heads.select("shard_id", "durable_entry", F.explode(F.array(*map(F.lit, groups))).alias("group"))

@@ -53,6 +53,12 @@ def unhealthy(diagnosed: DataFrame) -> DataFrame:
     return diagnosed.where(~F.col("is_healthy"))
 
 
+def last_batch_compression(sizes: DataFrame) -> DataFrame:
+    """As ``compression``, of each shard's last batch alone. sizes: shard_id, batch_id, original, stored."""
+    last = sizes.groupBy("shard_id", "batch_id").agg(F.sum("original").alias("original"), F.sum("stored").alias("stored")).groupBy("shard_id").agg(F.max_by(F.struct("original", "stored"), "batch_id").alias("b"))
+    return compression(last.select("shard_id", "b.original", "b.stored"))
+
+
 def health(errors: DataFrame, now) -> DataFrame:
     """One row: error count, age of the last one and the status. errors: (ts)."""
     out = errors.agg(F.count(F.lit(1)).alias("error_count"), F.max("ts").alias("last_error"))
@@ -96,3 +102,53 @@ def group_stats(heads: DataFrame, segments: DataFrame, offsets: DataFrame) -> Da
     own = offsets.join(heads.select("shard_id", "durable_entry"), "shard_id").withColumn("lag", F.col("durable_entry") - F.col("offset"))
     groups = own.groupBy("shard_id").agg(F.array_sort(F.collect_list(F.struct("group", "offset", "lag"))).alias("groups"))
     return heads.select("shard_id", "durable_entry").join(files, "shard_id", "left").join(groups, "shard_id", "left")
+
+
+def client_rates(counters: DataFrame) -> DataFrame:
+    """Rates of a client, from one row or more of counters since its start (uptime_s: the greatest counts).
+
+    counters: bytes_written, writes, reads, write_errors, read_errors, compression_saves, latency_sum, latency_count, uptime_s.
+    """
+    total = counters.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("bytes_written", "writes", "reads", "write_errors", "read_errors", "compression_saves", "latency_sum", "latency_count")), F.max("uptime_s").alias("uptime_s"))
+    per_s = lambda c: F.round(F.coalesce(F.try_divide(c, F.col("uptime_s")), F.lit(0.0)), 6)
+    return total.select(
+        "bytes_written", "writes", "reads", (F.col("write_errors") + F.col("read_errors")).alias("errors"),
+        per_s(F.col("bytes_written") / (1 << 20)).alias("write_mib_s"), per_s(F.col("writes")).alias("write_rate"), per_s(F.col("reads")).alias("read_rate"),
+        per_s(F.col("write_errors") + F.col("read_errors")).alias("error_rate"),
+        F.round(F.coalesce(F.try_divide(F.col("bytes_written") + F.col("compression_saves"), F.col("bytes_written")), F.lit(1.0)), 6).alias("compression_ratio"),
+        F.coalesce(F.floor(F.try_divide("latency_sum", "latency_count")).cast("long"), F.lit(0)).alias("avg_latency"),
+    )
+
+
+def consumer_lags(lags: DataFrame) -> DataFrame:
+    """Per group the sum of its lags over the shards where it lags; groups that lag nowhere have no row."""
+    return lags.where("lag > 0").groupBy("group").agg(F.sum("lag").alias("lag"), F.max("lag").alias("max_lag"))
+
+
+def shard_details(heads: DataFrame, segments: DataFrame, offsets: DataFrame, nodes: DataFrame, states: DataFrame | None = None) -> DataFrame:
+    """Per shard: entries, write offset, files, groups, index nodes, and the details of files and groups as arrays; with states, those columns too."""
+    files = segments.groupBy("shard_id").agg(
+        F.max("end_offset").alias("bytes"), F.count(F.lit(1)).alias("files"),
+        F.array_sort(F.collect_list(F.struct("segment_id", F.col("bytes").alias("size"), "entries", "start_entry", F.col("start_time").alias("created"), F.col("end_time").alias("modified")))).alias("file_details"),
+    )
+    own = offsets.join(heads.select("shard_id", "durable_entry"), "shard_id")
+    groups = own.groupBy("shard_id").agg(F.count(F.lit(1)).alias("consumer_groups"), F.array_sort(F.collect_list(F.struct("group", "offset", (F.col("durable_entry") - F.col("offset")).alias("lag")))).alias("consumer_details"))
+    index = nodes.groupBy("shard_id").agg(F.count(F.lit(1)).alias("index_nodes"))
+    out = heads.select("shard_id", F.col("durable_entry").alias("entries")).join(files, "shard_id", "left").join(groups, "shard_id", "left").join(index, "shard_id", "left")
+    out = out.fillna(0, ["bytes", "files", "consumer_groups", "index_nodes"])
+    return out if states is None else out.join(states, "shard_id", "left")
+
+
+def of_shard(details: DataFrame, shard: int):
+    """The one row of a shard; a shard that isn't there is an error."""
+    row = details.where(F.col("shard_id") == shard).first()
+    if row is None:
+        raise KeyError(f"shard {shard} not found")
+    return row
+
+
+def retention_report(segments: DataFrame, lags: DataFrame) -> DataFrame:
+    """Per shard: size in bytes and GiB, files, times, and the groups that lag with their lags, as a map."""
+    files = segments.groupBy("shard_id").agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("files"), F.min("start_time").alias("oldest"), F.max("end_time").alias("newest"))
+    behind = lags.where("lag > 0").groupBy("shard_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("group", "lag")))).alias("consumer_lag"))
+    return files.join(behind, "shard_id", "left").withColumn("gib", F.round(F.col("bytes") / (1 << 30), 9))

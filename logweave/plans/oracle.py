@@ -60,6 +60,12 @@ thin as (
   select t.shard_id, n.k, if(len(t.kept) + 1 >= 10, list_filter(list_append(t.kept, n.entry_number), lambda x, i: i % 2 = 1), list_append(t.kept, n.entry_number))
   from thin t join nodes n on n.shard_id = t.shard_id and n.k = t.k + 1),
 kept as (select shard_id, unnest(kept) as entry_number from thin where (shard_id, k) in (select (shard_id, max(k)) from nodes group by shard_id))"""
+_MARKS = """ap as (select shard_id, event_id // 64 as seq, max(epoch(date_trunc('second', ts)))::bigint as at_s, count(*) as n, row_number() over (partition by shard_id order by event_id // 64) as k from log group by shard_id, event_id // 64),
+marks as (
+  select shard_id, seq, k, n >= 20 as due, at_s as since, if(n >= 20, 0, n) as unsaved from ap where k = 1
+  union all
+  select a.shard_id, a.seq, a.k, a.at_s - m.since > 86400 or m.unsaved + a.n >= 20, if(a.at_s - m.since > 86400 or m.unsaved + a.n >= 20, a.at_s, m.since), if(a.at_s - m.since > 86400 or m.unsaved + a.n >= 20, 0, m.unsaved + a.n)
+  from marks m join ap a on a.shard_id = m.shard_id and a.k = m.k + 1)"""
 _BATCHES = """sized as (select shard_id, event_id // 64 as b, sum(stored_size)::bigint as size, row_number() over (partition by shard_id order by event_id // 64) as k from log group by shard_id, event_id // 64),
 whole as (
   select shard_id, b, k, size, 0::bigint as segment_id, 0::bigint as off from sized where k = 1
@@ -106,6 +112,27 @@ def oracle_sql() -> dict[str, str]:
         "offset_progress": 'select "group", shard_id, seq, max(entry_number + 1) over (partition by "group", shard_id order by seq) as "offset" from acks',
         "segment_assign_batches": """$batches select l.shard_id, entry_number, segment_id, (off + sum(stored_size) over (partition by l.shard_id, w.b order by entry_number))::bigint - stored_size as offset_in_segment
   from log l join whole w on w.shard_id = l.shard_id and w.b = l.event_id // 64""",
+        "process_resume": "select shard_id, entry_number, if(row_number() over (order by shard_id, entry_number) <= 300, 1, 2) as run from log",
+        "process_reset": "select log.shard_id, entry_number from log join heads using (shard_id) where entry_number >= n - 10",
+        "process_lag": "select g as \"group\", shard_id, n as durable_entry, if(g = 'g', n, 0) as \"offset\", if(g = 'g', 0, n) as lag from heads, (values ('g'), ('other')) v(g)",
+        "recover_choose": "select shard_id, ['new', 'rebuild', 'fail', 'rebuild', 'load', 'load'][(shard_id % 6 + 1)::int] as action from heads",
+        "state_sync": "$state select shard_id, not (write_offset = n * 50 and last_entry = n - 1) as moved, n - 1 as last_entry, n * 50 as write_offset from state",
+        "checkpoint_marks": """$marks select shard_id, seq, due as checkpoint, unsaved from marks""",
+        "write_requests": """select shard_id, event_id // 64 as batch_id, count(*) as entries, sum(stored_size)::bigint as bytes, min(entry_number) as first_entry, max(entry_number) as last_entry,
+  count(*) filter (strlen(payload) >= 40) as compressed, count(*) filter (strlen(payload) < 40) as skipped from log group by shard_id, event_id // 64""",
+        "client_rates": """select b::bigint as bytes_written, w as writes, r as reads, e + s as errors, round(b / 1048576 / 3600, 6) as write_mib_s, round(w / 3600, 6) as write_rate, round(r / 3600, 6) as read_rate,
+  round((e + s) / 3600, 6) as error_rate, round((b + c) / b, 6) as compression_ratio, floor(l / w)::bigint as avg_latency from (
+  select sum(strlen(payload)) as b, count(*) as w, count(*) filter (event_type = 'view') as r, count(*) filter (event_type = 'error') as e, count(distinct shard_id) as s,
+    sum(if(strlen(payload) >= 40, strlen(payload) - strlen(payload) // 2, 0)) as c, sum(length(payload)) as l from log)""",
+        "consumer_lags": 'select "group", sum(lag)::bigint as lag, max(lag) as max_lag from lags where lag > 0 group by 1',
+        "last_batch_compression": """select shard_id, original, stored, floor((original - stored) * 10000 / original)::bigint as saved_bp, round(original / stored, 6) as ratio, round(stored / original, 6) as stored_share from (
+  select l.shard_id, sum(strlen(payload))::bigint as original, sum(if(strlen(payload) >= 40, strlen(payload) // 2, strlen(payload)))::bigint as stored
+  from log l join (select shard_id, max(event_id // 64) as b from log group by 1) m on m.shard_id = l.shard_id and m.b = l.event_id // 64 group by 1)""",
+        "offset_migrate": "select \"group\", shard_id, \"offset\" from off union all select 'older', shard_id, 7 from heads",
+        "group_slots": f"""select "group", shard_id, left("group", 47) as stored_name, ({_FNV.format(k='"group"')} % 512)::int as slot from (select "group" || repeat('x', shard_id * 8) as "group", shard_id from off)""",
+        "highest_read": 'select "group", shard_id, max(entry_number) as highest from acks group by all',
+        "pick_stream": "select event_id, printf('events:v1:%04d', shard_id) as stream from log",
+        "discover_shards": "select shard_id from heads where shard_id % 3 = 1",
         "consumer_lag": "select * from lags",
         "lag_summary": 'select "group", sum(lag)::bigint as lag, max(lag) as max_lag from lags group by 1',
         "dedup_filter": "select shard_id, entry_number, event_id from log where event_type <> 'view'",
@@ -145,6 +172,21 @@ def oracle_sql() -> dict[str, str]:
         "group_stats": 'select h.shard_id, h.n as durable_entry, files, "group", "offset", h.n - "offset" as lag from heads h join (select shard_id, count(*) as files from seg group by 1) using (shard_id) join off using (shard_id)',
         "retain_reader_guard": f"select shard_id, segment_id, old and segment_id not in (lo, hi) as goes from (select *, min(segment_id) over (partition by shard_id) as lo, max(segment_id) over (partition by shard_id) as hi from ({_BY_AGE}))",
         "retain_min_files": f"select shard_id, segment_id, old and rank <= greatest(others - 2, 0) as goes from (select shard_id, segment_id, old, sum(old::int) over (partition by shard_id order by segment_id) as rank, count(*) over (partition by shard_id) - 1 as others from ({_BY_AGE}))",
+        "binary_scan": """select f.shard_id, printf('log-%016d.seg', segment_id) as file, f.entry_number - min(f.entry_number) over (partition by f.shard_id, segment_id) as entry_in_file, off as offset_in_segment,
+  epoch_us(f.ts) * 1000 as ts_nanos, payload, f.stored_size as stored_bytes from fold f join log l on l.shard_id = f.shard_id and l.entry_number = f.entry_number""",
+        "binary_read_at": """select f.shard_id, printf('log-%016d.seg', f.segment_id) as file, off as offset_in_segment, payload from fold f join seg s on s.shard_id = f.shard_id and s.segment_id = f.segment_id
+  and f.entry_number = start_entry + entries // 2 join log l on l.shard_id = f.shard_id and l.entry_number = f.entry_number""",
+        "binary_rebuild": "select shard_id, printf('log-%016d.seg', segment_id) as path, entries, bytes, start_entry, start_offset, end_offset, is_current from man",
+        "manifest_roundtrip": """select man.shard_id, n as head, max(end_offset) over (partition by man.shard_id) as write_offset, o.t as offsets, ((n + 99) // 100)::int as nodes, printf('log-%016d.seg', segment_id) as path,
+  start_offset, end_offset, start_entry, entries, epoch_us(start_time) * 1000 as start_nanos, epoch_us(end_time) * 1000 as end_nanos
+  from man join heads using (shard_id) join (select shard_id, sum("offset")::bigint as t from off group by 1) o using (shard_id)""",
+        "recover_manifest": """select shard_id, ['gone', 'shorter', 'longer', 'whole'][(k + 1)::int] as state, if(k = 0, null, printf('log-%016d.seg', segment_id)) as last_path, if(k = 1, start_entry + scanned, n) as head,
+  if(k in (1, 2), start_entry + scanned, n) as next_entry, case k when 0 then start_offset when 3 then end_offset else start_offset + size end as write_offset, if(k = 0, null, scanned) as last_entries
+  from (select *, shard_id % 4 as k, case shard_id % 4 when 1 then entries // 2 when 2 then entries + 3 else entries end as scanned, case shard_id % 4 when 1 then bytes // 2 when 2 then bytes + 100 else bytes end as size from man where is_current) join heads using (shard_id)""",
+        "shard_details": """select m.shard_id, n as head, max(end_offset) over (partition by m.shard_id) as write_offset, count(*) over (partition by m.shard_id) as files, 2::bigint as consumer_groups, (n + 99) // 100 as index_nodes,
+  l.t as lags, segment_id, bytes as size, entries, start_entry, start_time as created, end_time as modified from man m join heads using (shard_id) join (select shard_id, sum(lag)::bigint as t from lags where "group" <> 'new' group by 1) l on l.shard_id = m.shard_id""",
+        "retention_report": """select s.*, round(bytes / 1073741824, 9) as gib, a.lag as fast, b.lag as new from (select shard_id, sum(bytes)::bigint as bytes, count(*) as files, min(start_time) as oldest, max(end_time) as newest from seg group by 1) s
+  left join lags a on a.shard_id = s.shard_id and a."group" = 'fast' and a.lag > 0 left join lags b on b.shard_id = s.shard_id and b."group" = 'new' and b.lag > 0""",
         "asof_pruned": f"$thin select w.shard_id, w.entry_number, i.entry_number as node_entry, i.segment_id, i.off as offset_in_segment from fold w asof join (select nodes.* from nodes join kept using (shard_id, entry_number)) i on w.shard_id = i.shard_id and w.entry_number >= i.entry_number",
         "index_prune": "$thin select shard_id, entry_number from kept",
         "retain_pass": "$pass select shard_id, segment_id, reason, reason is not null as goes from passed",
@@ -162,6 +204,6 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _whole(base: str, sql: str) -> str:
-    extra = {"$diag": _DIAG, "$state": _STATE, "$pass": _PASS, "$thin": _THIN, "$batches": _BATCHES}
+    extra = {"$diag": _DIAG, "$state": _STATE, "$pass": _PASS, "$thin": _THIN, "$batches": _BATCHES, "$marks": _MARKS}
     head = next((k for k in extra if sql.startswith(k)), None)
     return f"{base}, {extra[head]} {sql[len(head) :]}" if head else f"{base} {sql}"

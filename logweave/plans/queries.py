@@ -383,6 +383,204 @@ def stream_dedup(spark, d):
     return spark.read.schema("shard_id int, entry_number long, event_id long, ts timestamp_ntz").parquet(f"{folder}/distinct").select("shard_id", "entry_number", "event_id")
 
 
+def _event_log(spark, d):
+    """The events appended to a log of their own."""
+    from logweave.log import EventLog
+
+    own = EventLog(spark, store.shared_dir(spark, "event-log"), SHARDS)
+    rows = spark.read.parquet(f"{d}/events.parquet").select("event_id", "ts", "user_id", F.concat_ws(":", "event_type", "props").alias("payload"))
+    own.append(rows, "user_id", "payload", "event_id", F.col("ts"))
+    return own
+
+
+def _consumed(spark, own, folder, run, stop=False, batch=0):
+    """Runs the group's loop; each call's entries go to a folder, and with ``stop`` the first call ends it."""
+    from logweave.streaming import process as loop
+
+    def handler(df, n):
+        df.select("shard_id", "entry_number").write.mode("overwrite").parquet(f"{folder}/run={run}/call={n}")
+        if stop:
+            raise loop.StopProcessing
+
+    own.consume("g", handler, loop.Options(batch_size=batch)).awaitTermination()
+
+
+def _delivered(spark, folder):
+    return spark.read.schema("shard_id int, entry_number long, run int, call int").parquet(folder)
+
+
+def process_resume(spark, d):
+    """A loop that ends after its first 300 entries, and one that goes on from there."""
+    own, folder = _event_log(spark, d), store.shared_dir(spark, "delivered")
+    _consumed(spark, own, folder, 1, True, 300)
+    _consumed(spark, own, folder, 2)
+    return _delivered(spark, folder).select("shard_id", "entry_number", "run")
+
+
+def process_reset(spark, d):
+    """What comes again after the group was set back by ten entries in each shard."""
+    own, folder = _event_log(spark, d), store.shared_dir(spark, "delivered")
+    _consumed(spark, own, folder, 1)
+    own.reset(own.heads().select(F.lit("g").alias("group"), "shard_id", F.lit(-10).cast("long").alias("to")))
+    _consumed(spark, own, folder, 2)
+    return _delivered(spark, folder).where("run = 2").select("shard_id", "entry_number")
+
+
+def process_lag(spark, d):
+    own, folder = _event_log(spark, d), store.shared_dir(spark, "delivered")
+    _consumed(spark, own, folder, 1)
+    return own.lag(["g", "other"])
+
+
+def _binary(spark, d):
+    """The log as segment files."""
+    from logweave.sources import binary_log
+
+    folder = store.shared_dir(spark, "segments")
+    rows = log(spark, d).select("shard_id", "entry_number", (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("ts_nanos"), F.col("payload").cast("binary").alias("data"))
+    binary_log.write_segments(rows, folder, compress_from=None).write.format("noop").mode("overwrite").save()
+    return folder
+
+
+def _file(path):
+    return F.regexp_extract(path, r"(log-\d+\.seg)$", 1)
+
+
+def binary_scan(spark, d):
+    from logweave.sources import binary_log
+
+    rows = binary_log.scan(spark, _binary(spark, d))
+    return rows.select("shard_id", _file("path").alias("file"), "entry_in_file", "offset_in_segment", "ts_nanos", F.col("data").cast("string").alias("payload"), "stored_bytes")
+
+
+def binary_read_at(spark, d):
+    """The entry in the middle of each file, by its place."""
+    from logweave.sources import binary_log
+
+    folder = _binary(spark, d)
+    places = binary_log.scan(spark, folder).groupBy("path").agg(F.array_sort(F.collect_list("offset_in_segment")).alias("all"))
+    middle = places.select("path", F.get("all", F.floor(F.size("all") / 2).cast("int")).alias("offset_in_segment"))
+    return binary_log.read_at(spark, folder, middle).select("shard_id", _file("path").alias("file"), "offset_in_segment", F.col("data").cast("string").alias("payload"))
+
+
+def binary_rebuild(spark, d):
+    from logweave.sources import binary_log
+
+    files_ = binary_log.data_files(binary_log.scan(spark, _binary(spark, d)))
+    return recovery.rebuild(files_).select("shard_id", _file("path").alias("path"), "entries", "bytes", "start_entry", "start_offset", "end_offset", "is_current")
+
+
+def _manifest_files(spark, d):
+    nanos = lambda c: (F.unix_micros(F.col(c).cast("timestamp")) * 1000).alias(c.replace("time", "nanos"))
+    return files(spark, d).select("shard_id", F.format_string("log-%016d.seg", "segment_id").alias("path"), "start_offset", "end_offset", "start_entry", "entries", nanos("start_time"), nanos("end_time"))
+
+
+def manifest_roundtrip(spark, d):
+    """Manifests written in their binary form and read back: each file with its shard's head, groups and nodes."""
+    from logweave.sources import manifest
+
+    folder = store.shared_dir(spark, "manifests")
+    nodes = segments.sparse_index(assigned(spark, d), INTERVAL).select("shard_id", "entry_number", F.col("segment_id").alias("file_index"), F.col("offset_in_segment").alias("offset"))
+    whole = manifest.assembled(heads(spark, d).select("shard_id", F.col("durable_entry").alias("head")), _manifest_files(spark, d), group_offsets(spark, d), nodes)
+    manifest.write(whole, folder).write.format("noop").mode("overwrite").save()
+    back = manifest.read(spark, folder)
+    return back.select("shard_id", "head", "write_offset", F.aggregate("offsets", F.lit(0).cast("long"), lambda a, o: a + o["offset"]).alias("offsets"), F.size("nodes").alias("nodes"), F.explode("files").alias("f")).select("shard_id", "head", "write_offset", "offsets", "nodes", "f.*")
+
+
+def recover_manifest(spark, d):
+    """Last files that are gone, too short or too long, by the shard's number."""
+    own = _manifest_files(spark, d)
+    kind = F.col("shard_id") % 4
+    size = F.col("end_offset") - F.col("start_offset")
+    last = own.groupBy("shard_id").agg(F.max("path").alias("path"))
+    found = own.join(last, ["shard_id", "path"]).where(kind != 0).select("shard_id", "path", F.when(kind == 1, F.floor(size / 2)).when(kind == 2, size + 100).otherwise(size).alias("size"), F.when(kind == 1, F.floor(F.col("entries") / 2)).when(kind == 2, F.col("entries") + 3).otherwise(F.col("entries")).alias("scanned"))
+    at = heads(spark, d).select("shard_id", F.col("durable_entry").alias("head")).join(own.groupBy("shard_id").agg(F.max("end_offset").alias("write_offset")), "shard_id")
+    return recovery.recover(own, at, found)
+
+
+def recover_choose(spark, d):
+    pick = F.col("shard_id") % 6
+    shards = heads(spark, d).select(
+        "shard_id", (pick > 1).alias("has_manifest"), F.when(pick == 2, "manifest too small").alias("error"), F.when(pick == 3, 0).otherwise(2).alias("manifest_files"),
+        F.when(pick.isin(0, 4), 0).otherwise(2).alias("data_files"), F.when(pick == 0, -1).otherwise(7).alias("last_entry"),
+    )
+    return recovery.choose(shards).select("shard_id", "action")
+
+
+def state_sync(spark, d):
+    at = heads(spark, d).select("shard_id", F.col("durable_entry").alias("head"), (F.col("durable_entry") * 50).alias("write_offset"))
+    return recovery.sync(_state(spark, d), at)
+
+
+def _appends(spark, d):
+    """Batches of 64 events: what each appends to a shard."""
+    return log(spark, d).withColumn("batch_id", F.expr("event_id div 64"))
+
+
+def checkpoint_marks(spark, d):
+    rows = _appends(spark, d).groupBy("shard_id", F.col("batch_id").alias("seq")).agg(F.max(F.unix_seconds(F.col("ts").cast("timestamp"))).alias("at_s"), F.count(F.lit(1)).alias("entries"))
+    return append.checkpoints(rows, 86400.0, 20).select("shard_id", "seq", "checkpoint", "unsaved")
+
+
+def write_requests(spark, d):
+    return append.write_requests(_appends(spark, d), 40)
+
+
+def client_rates(spark, d):
+    error = F.count_if(F.col("event_type") == "error")
+    n = F.octet_length("payload")
+    counters = log(spark, d).groupBy("shard_id").agg(
+        F.sum(n).alias("bytes_written"), F.count(F.lit(1)).alias("writes"), F.count_if(F.col("event_type") == "view").alias("reads"), error.alias("write_errors"), F.lit(1).cast("long").alias("read_errors"),
+        F.sum(F.when(n >= 40, n - F.floor(n / 2)).otherwise(0)).alias("compression_saves"), F.sum(F.length("payload")).alias("latency_sum"), F.count(F.lit(1)).alias("latency_count"), F.lit(3600).alias("uptime_s"),
+    )
+    return stats.client_rates(counters)
+
+
+def consumer_lags(spark, d):
+    return stats.consumer_lags(consumer_lag(spark, d))
+
+
+def shard_details(spark, d):
+    nodes = segments.sparse_index(assigned(spark, d), INTERVAL)
+    out = stats.shard_details(heads(spark, d), files(spark, d), group_offsets(spark, d), nodes)
+    lag = F.aggregate("consumer_details", F.lit(0).cast("long"), lambda a, g: a + g["lag"])
+    return out.select("shard_id", F.col("entries").alias("head"), F.col("bytes").alias("write_offset"), "files", "consumer_groups", "index_nodes", lag.alias("lags"), F.explode("file_details").alias("f")).select("shard_id", "head", "write_offset", "files", "consumer_groups", "index_nodes", "lags", "f.*")
+
+
+def retention_report(spark, d):
+    out = stats.retention_report(files(spark, d), consumer_lag(spark, d))
+    return out.select("shard_id", "bytes", "files", "oldest", "newest", "gib", F.element_at("consumer_lag", "fast").alias("fast"), F.element_at("consumer_lag", "new").alias("new"))
+
+
+def last_batch_compression(spark, d):
+    n = F.octet_length("payload").cast("long")
+    return stats.last_batch_compression(_appends(spark, d).select("shard_id", "batch_id", n.alias("original"), F.when(n >= 40, F.floor(n / 2)).otherwise(n).cast("long").alias("stored")))
+
+
+def offset_migrate(spark, d):
+    """An older table has all groups at 7, and one more."""
+    new = group_offsets(spark, d)
+    old = heads(spark, d).select(F.explode(F.array(F.lit("fast"), F.lit("older"))).alias("group"), "shard_id", F.lit(7).cast("long").alias("offset"))
+    return offsets.merge_legacy(old, new)
+
+
+def group_slots(spark, d):
+    long = group_offsets(spark, d).withColumn("group", F.concat("group", F.repeat(F.lit("x"), F.col("shard_id") * 8)))
+    return offsets.slots(long).select("group", "shard_id", "stored_name", "slot")
+
+
+def highest_read(spark, d):
+    return browse.highest_read(acks(spark, d))
+
+
+def pick_stream(spark, d):
+    return store.routed(spark, d).select("event_id", routing.pick_stream("events:v1", F.col("user_id"), 0).alias("stream"))
+
+
+def discover_shards(spark, d):
+    return browse.discover("events:v1:shard:*", heads(spark, d), 1, 3)
+
+
 #: Beyond the log's own operators.
 def tumbling_counts(spark, d):
     return log(spark, d).groupBy("shard_id", F.window("ts", "1 hour").alias("w")).agg(F.count(F.lit(1)).alias("n")).select("shard_id", F.col("w.start").alias("start"), "n")
@@ -402,7 +600,8 @@ _QUERIES: list[Query] = [
     consumer_lag, lag_summary, dedup_filter, dedup_evict, segment_assign, segment_assign_batches, byte_offsets, segment_manifest, locate_entry, sparse_index, asof_position, asof_pruned, index_prune,
     compress_class, compress_ratio, shard_stats, client_stats, retention_stats, shard_diagnostics, unhealthy_shards, health, error_rate, batch_metrics, group_stats, all_streams, slot_stats,
     retain_age, retain_protect, retain_reader_guard, retain_min_files, retain_shard_size, retain_pass, retain_metrics, retain_global_size, retain_apply, rebuild_index, state_validate, rebuild_needed,
-    stream_process, stream_dedup, tumbling_counts, sliding_counts, session_counts,
+    stream_process, stream_dedup, process_resume, process_reset, process_lag, binary_scan, binary_read_at, binary_rebuild, manifest_roundtrip, recover_manifest, recover_choose, state_sync,
+    checkpoint_marks, write_requests, client_rates, consumer_lags, shard_details, retention_report, last_batch_compression, offset_migrate, group_slots, highest_read, pick_stream, discover_shards, tumbling_counts, sliding_counts, session_counts,
 ]
 
 

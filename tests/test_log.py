@@ -126,6 +126,7 @@ def test_binary_files_round_trip(spark, tmp_path):
         (folder / f"log-{2:016d}.seg").write_bytes(binary_log.encode(entries[20:]) + b"\x05\0\0\0half")
     got = binary_log.scan(spark, str(tmp_path))
     assert sorted(bytes(r.data) for r in got.where("shard_id = 7").collect()) == sorted(d for _, d in entries)
+    assert sum(r.stored_bytes for r in got.collect()) == sum(f.stat().st_size for f in tmp_path.rglob("*.seg")) - 2 * 8  # the half entries
     rebuilt = recovery.rebuild(binary_log.data_files(got))
     assert values(rebuilt, "shard_id", "start_entry", "entries", "is_current") == [(0, 0, 20, False), (0, 20, 9, True), (7, 0, 20, False), (7, 20, 9, True)]
 
