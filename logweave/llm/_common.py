@@ -87,14 +87,16 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """64-bit hashes of byte words, computed once for each; emptied when it has grown to its bound."""
+    """64-bit hashes of byte words, computed once for each; emptied when it has grown to its bound. Long words are not kept."""
 
-    BOUND = 250_000
+    BOUND, LONGEST = 250_000, 256
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.BOUND:
             self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= self.LONGEST:
+            self[word] = h
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:

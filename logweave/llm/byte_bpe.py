@@ -11,8 +11,12 @@ latest first, and asking at each step whether a merge across the boundary would
 Tokens that merges can't reach are left out of the automaton; as a piece of their own they are still looked up whole, as
 the ranks say.
 
-Whole pieces are remembered too, up to a bound. Null texts count as empty: no ids, the hash of nothing. Other columns are
-not read, and rows with equal or null ids are encoded one by one.
+Whole pieces are remembered too, up to a bound of their number, and only those of up to ``LONGEST`` bytes. A longer piece is
+read in slabs of ``SLAB`` bytes: the tokens that begin in three of them at most are held at a time, and besides them some 20
+bytes for each token, so a text that is one single run of letters takes a few times its own size.
+
+Null texts count as empty: no ids, the hash of nothing. Texts of any length are encoded whole. Other columns are not read,
+whatever their names, and rows with equal or null ids are encoded one by one. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from __future__ import annotations
 import base64
 import gc
 import hashlib
+from array import array
 from itertools import chain, filterfalse
 
 import ahocorasick
@@ -33,6 +38,8 @@ from logweave.llm._common import session
 
 #: Pieces and pairs of tokens that a worker remembers; texts that are encoded together.
 PIECES, PAIRS, AT_ONCE = 500_000, 1_000_000, 64
+#: Bytes of the longest piece that is remembered, and of a slab of a long one.
+LONGEST, SLAB = 256, 1 << 16
 _LOADED: dict[tuple[str, str], ByteBpe] = {}
 
 
@@ -57,6 +64,7 @@ class ByteBpe:
                     self.halves[rank] = (parts[0], parts[1])
                 self.automaton.add_word(token.decode("latin-1"), (len(token), rank))
         self.automaton.make_automaton()
+        self.longest = max(map(len, ranks))
         self.pairs: dict[int, bool] = {}
         self.memo: dict[str, bytes] = {}
 
@@ -108,18 +116,39 @@ class ByteBpe:
                 # the merge across comes before an equal one on its right
                 open_until, right = right + 1, whole_right[0]
 
-    def encode_piece(self, piece: bytes) -> list[int]:
+    def _begins(self, text: str, slab: int) -> list[list[tuple[int, int]]]:
+        """The tokens that begin at each place of a slab of the text, the longest last."""
+        n, low = len(text), slab * SLAB
+        size = min(SLAB, n - low)
+        out: list[list[tuple[int, int]]] = [[] for _ in range(size)]
+        if size == n:
+            for end, token in self.automaton.iter(text):
+                out[end + 1 - token[0]].append(token)
+        else:
+            for end, token in self.automaton.iter(text, low, min(low + SLAB + self.longest, n)):
+                if (k := end + 1 - token[0] - low) < size:
+                    out[k].append(token)
+        return out
+
+    def encode_piece(self, piece: bytes) -> list[int] | array:
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
-        n = len(piece)
-        begins: list[list[tuple[int, int]]] = [[] for _ in range(n)]
-        for end, token in self.automaton.iter(piece.decode("latin-1")):
-            begins[end + 1 - token[0]].append(token)  # the longest last
+        n, text = len(piece), piece.decode("latin-1")
         compatible, dead = self.compatible, bytearray(n + 1)
-        out: list[int] = []
-        at, stack = 0, []
+        if n <= SLAB:
+            out, stack = [], []
+            slab, begins = 0, self._begins(text, 0)
+        else:
+            out, stack = array("I"), array("q")
+            slab, begins, others = -1, [], {}
+        at = 0
         while at < n:
-            choices, last = begins[at], out[-1] if out else -1
+            if n > SLAB and at // SLAB != slab:
+                # where a slab ends two are held, as the way back may lead into the one before
+                others = {k: v for k, v in ((slab, begins), *others.items()) if abs(k - at // SLAB) <= 1}
+                slab = at // SLAB
+                begins = others.pop(slab, None) or self._begins(text, slab)
+            choices, last = begins[at - slab * SLAB], out[-1] if out else -1
             for size, rank in reversed(choices):
                 if not dead[at + size] and (last < 0 or compatible(last, rank)):
                     out.append(rank)
@@ -147,6 +176,8 @@ class ByteBpe:
                     self.memo[p] = np.array(self.encode_piece(p.encode()), "<u4").tobytes()
                 get = self.memo.__getitem__
                 out += [b"".join(map(get, s)) for s in split]
+                for p in [p for p in new if len(p) > LONGEST]:
+                    del self.memo[p]
         finally:
             gc.enable()
         return out

@@ -4,15 +4,19 @@
 and there is no shuffle.
 
 A word is a run of characters other than space and the bytes 9 to 13. Words in three-word windows that the text has twice
-or more are found by sorting the text's own windows with their places: equal ones are neighbours.
+or more are found in two steps: each window becomes one number, 44 bits of its hash and 20 of its place, and the numbers are
+sorted, so that windows which may be equal are neighbours; only those are then sorted as texts. (Of a text with more than
+2**20 words all windows are sorted as texts.) So no two different windows count as equal.
 
-Null texts have no words and fail the base rule. Ties and repeated rows are judged row by row. All columns of docs stay;
-the measures are added, and a column of docs with the name of one of them is replaced.
+Null texts have no words and fail the base rule. Texts of any length are judged whole, ties and repeated rows row by row; an
+empty table gives no rows. All columns of docs stay; the measures are added, and a column of docs with the name of one of
+them is replaced. A filter on the columns of docs reaches the scan; one on the measures runs above them.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,6 +44,8 @@ STOP_WORDS = (
     "le la les de des et un une que pour dans qui par plus est au sur pas "
     "el los las del que en por con una se no su para como más"
 ).split()
+#: Bits of a window's place among a text's windows.
+PLACE = 20
 SPACE = "\t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 BASE = ("word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -66,43 +72,56 @@ def verdict(rules: tuple[Rule, ...] = RULES) -> Column:
     return out
 
 
-def _held(column: Column) -> Column:
-    """The column as it is, but marked as non-deterministic: a filter on the result is then not pushed below the projection
-    that computes it, where the windows would be built again for each of their elements."""
-    return F.when(F.spark_partition_id() >= 0, column)
+def _once(*columns: Column) -> Column:
+    """The columns as a generator of one row: they are computed once there, however often and for whatever filter they are
+    used above it, while filters on the other columns still go below it."""
+    return F.inline(F.array(F.struct(*columns)))
 
 
 def quality(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_stop_words, base_failed, kept."""
     own = [c for c in docs.columns if c not in {"n_words", *BASE, "n_lines", "n_stop_words", "base_failed", "kept"}]
     body = F.coalesce(F.col(text), F.lit(""))
-    blank = F.translate(body, SPACE, " " * len(SPACE))
+    blank = reduce(lambda t, c: F.replace(t, F.lit(c), F.lit(" ")), SPACE, body)
+    # a symbol is one byte; a text without it is not copied
+    symbols = reduce(lambda n, c: n + F.octet_length(body) - F.octet_length(F.replace(body, F.lit(c), F.lit(""))), SYMBOLS, F.lit(0))
     lines = F.filter(F.split(body, "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]"))
     one = docs.select(
         *(F.col(c).alias(f"own_{i}") for i, c in enumerate(own)),
         F.array_remove(F.split(blank, " ", -1), "").alias("words"),
         lines.alias("lines"),
-        F.length(F.translate(body, SPACE + " ", "")).cast("long").alias("word_chars"),
-        (F.length(body) - F.length(F.translate(body, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        symbols.cast("long").alias("n_symbols"),
     )
-    window = F.transform(F.slice(F.col("words"), 1, F.greatest(F.size("words") - 2, F.lit(0))), lambda w, i: F.struct(F.concat_ws(" ", w, F.get(F.col("words"), i + 1), F.get(F.col("words"), i + 2)).alias("w"), i.alias("i")))
+    n_windows = F.greatest(F.size("words") - 2, F.lit(0))
+    word = lambda i: F.get(F.col("words"), i)
+    number = lambda w, i: F.xxhash64(w, word(i + 1), word(i + 2)).bitwiseAND(F.lit(-(1 << PLACE))).bitwiseOR(i.cast("long"))
+    few = F.size("words") <= 1 << PLACE
+    numbers = F.when(few, F.sort_array(F.transform(F.slice(F.col("words"), 1, n_windows), number)))
     kept = [F.col(f"own_{i}") for i in range(len(own))]
-    counts = [F.col("word_chars"), F.col("n_symbols")]
     two = one.select(
         *kept,
-        *counts,
-        F.size("words").cast("long").alias("n_words"),
-        F.size("lines").cast("long").alias("n_lines"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.size(F.filter("words", lambda w: F.lower(w).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
-        _held(F.sort_array(window)).alias("sorted"),
-    )
-    same = lambda i, d: F.get(F.col("sorted"), i)["w"].eqNullSafe(F.get(F.col("sorted"), i + d)["w"])
-    twice = F.filter(F.col("sorted"), lambda x, i: ((i > 0) & same(i, -1)) | ((i < F.size("sorted") - 1) & same(i, 1)))
-    three = two.select(*kept, *counts, "n_words", "n_lines", "n_dup_lines", "n_stop_words", _held(F.sort_array(F.transform(twice, lambda x: x["i"]))).alias("at"))
+        _once(
+            F.length(F.array_join("words", "")).cast("long").alias("word_chars"), F.col("n_symbols"),
+            F.size("words").cast("long").alias("n_words"),
+            F.size("lines").cast("long").alias("n_lines"),
+            (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+            F.size(F.filter("words", lambda w: F.lower(w).isin(STOP_WORDS))).cast("long").alias("n_stop_words"),
+            numbers.alias("numbers"), F.col("words").alias("words"),
+        ),
+    )
+    counts = [F.col(c) for c in ("word_chars", "n_symbols", "n_words", "n_lines", "n_dup_lines", "n_stop_words")]
+    hashed = lambda x: F.shiftright(x, PLACE)
+    near = lambda x, i, d: hashed(x).eqNullSafe(hashed(F.get(F.col("numbers"), i + d)))
+    alike = F.transform(F.filter(F.col("numbers"), lambda x, i: ((i > 0) & near(x, i, -1)) | near(x, i, 1)), lambda x: x.bitwiseAND(F.lit((1 << PLACE) - 1)).cast("int"))
+    every = F.filter(F.sequence(F.lit(0), n_windows), lambda i: i < n_windows)
+    window = lambda i: F.struct(F.concat_ws(" ", word(i), word(i + 1), word(i + 2)).alias("w"), i.alias("i"))
+    two = two.select(*kept, _once(*counts, F.sort_array(F.transform(F.coalesce(alike, every), window)).alias("sorted")))
+    same = lambda x, i, d: x["w"].eqNullSafe(F.get(F.col("sorted"), i + d)["w"])
+    twice = F.filter(F.col("sorted"), lambda x, i: ((i > 0) & same(x, i, -1)) | same(x, i, 1))
+    three = two.select(*kept, _once(*counts, F.sort_array(F.transform(twice, lambda x: x["i"])).alias("at")))
     # a window's words up to the next window's first
     covered = F.aggregate(F.transform("at", lambda x, i: F.least(F.lit(3), F.coalesce(F.get(F.col("at"), i + 1) - x, F.lit(3)))), F.lit(0), lambda a, x: a + x)
-    four = three.select(*kept, *counts, "n_words", "n_lines", "n_dup_lines", "n_stop_words", _held(covered.cast("long")).alias("n_repeat_words"))
+    four = three.select(*kept, _once(*counts, covered.cast("long").alias("n_repeat_words")))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     return four.select(
         *(F.col(f"own_{i}").alias(c) for i, c in enumerate(own)),

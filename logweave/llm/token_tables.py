@@ -7,15 +7,16 @@ Documents are dealt by ranges of their id and sorted; each task encodes its rang
 A block holds entries (key, value) up to about ``BLOCK`` bytes. A key is stored as the number of bytes that it shares with
 the one before, the rest's length and the rest; a value is the ids as little-endian integers of 2 bytes, or of 4 where an
 id of the shard's vocabulary needs them, with a zlib checksum over the block. The index has each block's last key, place and length; the filter has each key; the footer says where they are. A
-look-up reads the footer, asks the filter, searches the index by bisection and decodes one block (more only where a key is
-repeated over several).
+look-up opens the shard whose range of keys, which the manifest has, holds its key, reads the footer, asks the filter, searches
+the index by bisection and decodes one block (more only where a key is repeated over several).
 
 Shards lie in the shared folder under ``spark.checkpoint.dir``, through ``pyarrow.fs`` (local disks, HDFS, object stores).
 A task writes under a name of its own and renames, so a repeated task leaves the same shard. The manifest has a row for
 each shard and is written before anything is read back.
 
-Null texts count as empty and have the end id alone. A null doc_id has the empty key, before all others. Rows with equal
-ids are neighbours in the order of their texts. An empty table has no shards. Other columns are not read.
+Null texts count as empty and have the end id alone; texts of any length are one entry, whole in one block. A null doc_id has
+the empty key, before all others. Rows with equal ids are neighbours in the order of their texts, over several shards where
+they are many. An empty table has no shards. Other columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,6 +24,7 @@ from __future__ import annotations
 import struct
 import uuid
 import zlib
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -70,9 +72,11 @@ def _read(data: bytes, at: int) -> tuple[int, int]:
         shift += 7
 
 
-def _bits(keys: np.ndarray, size: int) -> np.ndarray:
+def _bits(keys: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes and bits in them of the keys' places, a row for each probe."""
     low, high = keys & np.uint64(0xFFFFFFFF), (keys >> np.uint64(32)) | np.uint64(1)
-    return np.stack([(low + np.uint64(i) * high) % np.uint64(size) for i in range(PROBES)])
+    at = np.stack([(low + np.uint64(i) * high) % np.uint64(size) for i in range(PROBES)]).astype(np.int64)
+    return at >> 3, np.uint8(128) >> (at & 7).astype(np.uint8)
 
 
 class ShardWriter:
@@ -82,8 +86,8 @@ class ShardWriter:
         self.kind = f"<u{wide}"
         self.out, self.at, self.n, self.tokens = out, 0, 0, 0
         self.index: list[tuple[bytes, int, int]] = []
-        self.hashes: list[int] = []
-        self.block, self.last = bytearray(), b""
+        self.hashes = array("Q")
+        self.block, self.last, self.first = bytearray(), b"", b""
 
     def add(self, key: bytes, ids: bytes) -> None:
         """ids: little-endian 32-bit integers."""
@@ -95,7 +99,7 @@ class ShardWriter:
             while shared < min(len(key), len(self.last)) and key[shared] == self.last[shared]:
                 shared += 1
         self.block += _varint(shared) + _varint(len(key) - shared) + _varint(len(value)) + key[shared:] + value
-        self.last = key
+        self.first, self.last = self.first if self.n else key, key
         self.hashes.append(xxhash.xxh3_64_intdigest(key))
         self.n += 1
         self.tokens += len(ids) // 4
@@ -115,9 +119,11 @@ class ShardWriter:
         self._close()
         index = self._put(b"".join(_varint(len(k)) + k + struct.pack("<QI", at, n) for k, at, n in self.index))
         size = max(64, BITS * self.n // 8 * 8)
-        bits = np.zeros(size, np.uint8)
-        bits[_bits(np.array(self.hashes, np.uint64), size).ravel().astype(np.int64)] = 1
-        bloom = self._put(np.packbits(bits).tobytes())
+        bits, keys = np.zeros(size // 8, np.uint8), np.frombuffer(self.hashes, np.uint64)
+        for k in range(0, len(keys), 1 << 16):
+            at, bit = _bits(keys[k : k + (1 << 16)], size)
+            np.bitwise_or.at(bits, at.ravel(), bit.ravel())
+        bloom = self._put(bits.tobytes())
         self._put(_FOOTER.pack(*index, *bloom, self.n, self.tokens, int(self.kind[2]), _MAGIC))
 
 
@@ -131,7 +137,7 @@ class Shard:
         if magic != _MAGIC or wide not in (2, 4):
             raise ValueError("not a token shard")
         self.kind = f"<u{wide}"
-        self.bloom = np.unpackbits(np.frombuffer(self._at(bloom_at, bloom_n), np.uint8))
+        self.bloom = np.frombuffer(self._at(bloom_at, bloom_n), np.uint8)
         data, at, self.index = self._at(index_at, index_n), 0, []
         while at < len(data):
             n, at = _read(data, at)
@@ -165,7 +171,8 @@ class Shard:
     def get(self, doc_id: int | None) -> list[np.ndarray]:
         """The ids of each row with this doc_id."""
         key, out = key_of(doc_id), []
-        if not self.bloom[_bits(np.array([xxhash.xxh3_64_intdigest(key)], np.uint64), len(self.bloom)).ravel().astype(np.int64)].all():
+        at, bit = _bits(np.array([xxhash.xxh3_64_intdigest(key)], np.uint64), 8 * len(self.bloom))
+        if not (self.bloom[at] & bit).all():
             return out
         k = bisect_left(self.index, key, key=lambda x: x[0])
         while k < len(self.index):
@@ -202,17 +209,19 @@ def _write(folder: str, path: str, end_id: int):
             writer.finish()
             file.close()
             system.move(own, name)
-            yield pa.record_batch([pa.array([part], pa.int32()), pa.array([f"{folder}/shard-{part:06d}.sst"]), pa.array([writer.n], pa.int64()), pa.array([writer.tokens], pa.int64())], names=["shard", "path", "n_docs", "n_tokens"])
+            yield pa.record_batch([pa.array([part], pa.int32()), pa.array([f"{folder}/shard-{part:06d}.sst"]), pa.array([writer.n], pa.int64()), pa.array([writer.tokens], pa.int64()), pa.array([writer.first], pa.binary()), pa.array([writer.last], pa.binary())], names=["shard", "path", "n_docs", "n_tokens", "first_key", "last_key"])
 
     return write
 
 
 def write_shards(docs: DataFrame, path: str, end_id: int = END_ID, folder: str | None = None, shards: int | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Writes docs as shards below folder and returns the manifest: shard, path, n_docs, n_tokens. path: the tokenizer's file."""
+    """Writes docs as shards below folder and returns the manifest: shard, path, n_docs, n_tokens, first and last key. path: the tokenizer's file."""
     spark = session(docs.sparkSession)
     bodies = docs.select(F.col(key).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("body"))
-    ordered = bodies.repartitionByRange(shards or shuffle_partitions(spark), F.asc_nulls_first("doc_id")).sortWithinPartitions(F.asc_nulls_first("doc_id"), "body")
-    return frozen(ordered.mapInArrow(_write(folder or shared_dir(spark, "tokens"), path, end_id), "shard int, path string, n_docs long, n_tokens long"), "manifest")
+    # many rows of one id, or of none, may lie in several shards, in the order of their texts
+    order = (F.asc_nulls_first("doc_id"), F.substring("body", 1, 32))
+    ordered = bodies.repartitionByRange(shards or shuffle_partitions(spark), *order).sortWithinPartitions(*order, "body")
+    return frozen(ordered.mapInArrow(_write(folder or shared_dir(spark, "tokens"), path, end_id), "shard int, path string, n_docs long, n_tokens long, first_key binary, last_key binary"), "manifest")
 
 
 def _scan(batches):
@@ -245,9 +254,9 @@ def read_shards(manifest: DataFrame) -> DataFrame:
 
 
 def look_up(manifest: DataFrame, doc_id: int | None) -> list[np.ndarray]:
-    """The ids of the rows with one doc_id, from the shards that may have it."""
-    out = []
-    for r in manifest.orderBy("shard").toLocalIterator():
+    """The ids of the rows with one doc_id. Only shards whose keys' range has it are opened: one, or several for rows of one id."""
+    out, key = [], F.lit(key_of(doc_id))
+    for r in manifest.where((F.col("first_key") <= key) & (F.col("last_key") >= key)).orderBy("shard").toLocalIterator():
         system, name = filesystem(r.path)
         with system.open_input_file(name) as file:
             out += Shard(file).get(doc_id)

@@ -18,6 +18,8 @@ import numpy as np
 
 #: Words of a generation, of which a worker remembers two; texts that are looked up together.
 BOUND, AT_ONCE = 350_000, 64
+#: Bytes of the longest word that is remembered beyond its texts.
+LONGEST = 256
 _TAIL = re.compile(rb"(.*(?:[A-Za-z]|\xc3[\x9f-\xb6\xb8-\xbf]))([.,;:!?]+)", re.S)
 _PLAIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 _LOADED: dict[str, WordEncoder] = {}
@@ -78,23 +80,31 @@ class WordEncoder:
         if turn and len(self.memo) + len(words) > BOUND:
             self.old_memo, self.memo = self.memo, {}
             self.old_parts, self.parts = self.parts, {}
-        memo, known, split, unknown = self.memo, self.parts, [], set()
+        memo, known, whole, split, unknown = self.memo, self.parts, [], [], set()
+        from_old, part_of_old = self.old_memo.get, self.old_parts.get
         for w in words:
-            if (ids := self.old_memo.get(w)) is not None:
+            if (ids := from_old(w)) is not None:
                 memo[w] = ids
-                continue
-            m = _TAIL.fullmatch(w) if w[-1] < 64 and b"'" not in w and b"<" not in w else None
-            head, tail = m.groups() if m else (w, b"")
-            split.append((w, head, tail))
-            for p in (head, tail) if tail else (head,):
-                if p not in known:
-                    if (ids := self.old_parts.get(p)) is not None:
-                        known[p] = ids
+            elif w[-1] < 64 and b"'" not in w and b"<" not in w and (m := _TAIL.fullmatch(w)):
+                head, tail = m.groups()
+                split.append((w, head, tail))
+                for p in (head, tail):
+                    if p not in known:
+                        if (ids := part_of_old(p)) is not None:
+                            known[p] = ids
+                        else:
+                            unknown.add(p)
+            else:
+                whole.append(w)
+                if w not in known:
+                    if (ids := part_of_old(w)) is not None:
+                        known[w] = ids
                     else:
-                        unknown.add(p)
+                        unknown.add(w)
         self._library(list(unknown))
+        memo.update(zip(whole, map(known.__getitem__, whole), strict=True))
         for w, head, tail in split:
-            memo[w] = known[head] + known[tail] if tail else known[head]
+            memo[w] = known[head] + known[tail]
 
     def encode(self, bodies: list[bytes]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit integers."""
@@ -110,9 +120,14 @@ class WordEncoder:
         for k in range(0, len(bodies), AT_ONCE):
             split = [(b if b"<|" in b else b.lower()).split() for b in bodies[k : k + AT_ONCE]]
             before = self.memo
-            self.learn(set(filterfalse(before.__contains__, chain.from_iterable(split))))
+            new = set(filterfalse(before.__contains__, chain.from_iterable(split)))
+            self.learn(new)
             if self.memo is not before:  # a new generation: the words that were known have to move on
                 self.learn(set(filterfalse(self.memo.__contains__, chain.from_iterable(split))), turn=False)
             get = self.memo.__getitem__
             out += [b"".join(map(get, s)) for s in split]
+            if max(map(len, new), default=0) > LONGEST:
+                for known in (self.memo, self.parts):
+                    for w in [w for w in known if len(w) > LONGEST]:
+                        del known[w]
         return out

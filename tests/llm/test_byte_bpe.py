@@ -51,7 +51,7 @@ def test_small_vocabularies_of_any_shape(data, seed):
         a, b = (rng.choice([t for t in ranks if set(t) <= set(b"abc")]) for _ in range(2))
         ranks.setdefault(a + b, len(ranks))
     own = tiktoken.Encoding("own", pat_str=r"(?s).+", mergeable_ranks=ranks, special_tokens={})
-    assert ByteBpe(ranks, r"(?s).+").encode_piece(body) == own.encode_ordinary(body.decode())
+    assert list(ByteBpe(ranks, r"(?s).+").encode_piece(body)) == own.encode_ordinary(body.decode())
 
 
 def test_table(spark, both):
@@ -61,3 +61,22 @@ def test_table(spark, both):
         want = np.asarray(both[1].encode_ordinary(t or ""), "<u4").tobytes()
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256, bytes(r.ids)) == (len(want) // 4, hashlib.sha256(want).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest(), want)
     assert byte_bpe(documents(spark).limit(0), PATH, PATTERN).collect() == []
+
+
+def test_long_runs_go_through_slabs(monkeypatch, both):
+    from logweave.llm import byte_bpe as module
+
+    monkeypatch.setattr(module, "SLAB", 50)
+    rng = random.Random(2)
+    bpe, own = both
+    for alphabet in ("ab", "the", "abcdefghijklmnopqrstuvwxyz"):
+        run = "".join(rng.choice(alphabet) for _ in range(3000))
+        assert list(np.frombuffer(bpe.encode([run])[0], "<u4")) == own.encode_ordinary(run)
+    assert max(map(len, bpe.memo), default=0) <= 256
+
+
+def test_null_and_repeated_ids_and_clashing_columns(spark):
+    docs = documents(spark, ["a b", "a b", None, ""], [None, 3, 3, None]).selectExpr("*", "1 as n_tokens", "'x' as ids_sha256")
+    rows = byte_bpe(docs, PATH, PATTERN).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in rows) == [(0, 0), (0, 2), (3, 0), (3, 2)]
+    assert byte_bpe(documents(spark).limit(0), PATH, PATTERN).collect() == []

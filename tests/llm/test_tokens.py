@@ -127,3 +127,21 @@ def test_pack_nothing_and_nulls(spark):
     assert pack(documents(spark).limit(0), PATH).collect() == []
     rows = pack(documents(spark, [None, "", None], [None, None, 4]), PATH).collect()
     assert [r.length for r in rows] == [1, 1, 1] and len({r.sequence_id for r in rows}) == 1
+
+
+def test_look_up_opens_only_shards_whose_keys_range_has_the_id(spark, monkeypatch):
+    bodies = texts()
+    manifest = write_shards(documents(spark, [*bodies, "x", "y"], [*range(len(bodies)), 7, 7]), PATH, shards=4)
+    opened = []
+    monkeypatch.setattr(token_tables, "Shard", lambda f, own=token_tables.Shard: opened.append(1) or own(f))
+    for i in (0, 7, len(bodies) - 1):
+        opened.clear()
+        assert len(token_tables.look_up(manifest, i)) == (3 if i == 7 else 1) and len(opened) <= 2
+    assert token_tables.look_up(manifest, 10**9) == []
+
+
+def test_long_words_are_not_remembered():
+    encoder = WordEncoder(PATH)
+    long = b"q" * 5000 + b"."
+    assert encoder.encode([b"a b " + long, long]) == [encoder.encode([b"a b "])[0] + encoder.encode([long])[0], encoder.encode([long])[0]]
+    assert max(map(len, [*encoder.memo, *encoder.parts])) <= 256
