@@ -1,10 +1,10 @@
 """Connected components of an edge table: union-find within partitions, stars between them.
 
-Each partition first replaces its edges by a forest that connects the same nodes: at most one edge for each node, straight to
-the least one that the partition knows. That takes no shuffle and does most of the work. What is left lies in as many
-partitions as have ``EDGES`` edges each. Is that one, its forest is the answer. Else a round of large and small stars moves
-every edge to the least neighbour (two group-bys and two joins; their number grows with the logarithm of the components'
-size), and forests are made again.
+A task can replace its edges by a ``forest`` that connects the same nodes: at most one edge for each node, straight to the
+least one that it knows. That takes no shuffle and does most of the work; who makes edges in Python does it there, so that no
+task needs a second worker for it. Up to ``EDGES`` edges are one task's, and its forest is the answer. With more, rounds of
+large and small stars move every edge to the least neighbour (two group-bys and two joins; their number grows with the
+logarithm of the components' size), each followed by forests within partitions, until so few are left or none changes.
 
 A hub, which has a third of all rows as neighbours, is met by partial aggregation and by joins that adaptive execution may
 split; the joins are merge joins, so that nothing is broadcast. Nothing is collected but a count and a checksum.
@@ -75,7 +75,7 @@ def components(edges: DataFrame, a: str, b: str, what: str = "components") -> Da
     edges: two long columns; loops and repeated edges are allowed, rows with a null are not edges. Without edges, no rows.
     """
     pairs = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo"))
-    now = frozen(pairs.mapInArrow(_forests, _DDL), what)
+    now = frozen(pairs, what)
     mark = lambda df: df.agg(F.count(F.lit(1)), F.expr("bit_xor(xxhash64(hi, lo))")).first()
     seen = mark(now)
     while seen[0] > EDGES:

@@ -365,7 +365,8 @@ def _product(threshold: int):
                 a += [int(names[label[k]])] * len(others)
                 b += names[others].tolist()
                 label[np.isin(label, others)] = label[k]
-        return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        hi, lo = forest(np.array(a, np.int64), np.array(b, np.int64))
+        return pa.table([pa.array(hi, pa.int64()), pa.array(lo, pa.int64())], names=["a", "b"])
 
     return product
 

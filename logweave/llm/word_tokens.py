@@ -17,7 +17,7 @@ from itertools import chain, filterfalse
 import numpy as np
 
 #: Words of a generation, of which a worker remembers two; texts that are looked up together.
-BOUND, AT_ONCE = 350_000, 64
+BOUND, AT_ONCE = 300_000, 64
 #: Bytes of the longest word that is remembered beyond its texts.
 LONGEST = 256
 _TAIL = re.compile(rb"(.*(?:[A-Za-z]|\xc3[\x9f-\xb6\xb8-\xbf]))([.,;:!?]+)", re.S)
@@ -46,11 +46,10 @@ class WordEncoder:
         self.most = max(self.tokenizer.get_vocab().values())
         self.closes = np.zeros(self.most + 1, bool)
         self.closes[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        #: Words and parts of words, which are words themselves.
         self.memo: dict[bytes, bytes] = {}
-        self.parts: dict[bytes, bytes] = {}
         #: The generation before: what is still asked for moves on into the present one.
         self.old_memo: dict[bytes, bytes] = {}
-        self.old_parts: dict[bytes, bytes] = {}
 
     @classmethod
     def load(cls, path: str) -> WordEncoder:
@@ -65,23 +64,22 @@ class WordEncoder:
         for some, e in zip(groups, self.bare.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False), strict=True):
             ids = np.asarray(e.ids, "<u4")
             data, edge = ids.tobytes(), [0, *(4 * np.flatnonzero(self.closes[ids]) + 4).tolist()]
-            self.parts.update(zip(some, (data[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)), strict=True))
-        other = [w for w in words if w not in self.parts]
+            self.memo.update(zip(some, (data[a:b] for a, b in zip(edge[:-1], edge[1:], strict=True)), strict=True))
+        other = [w for w in words if w not in self.memo]
         for k in range(0, len(other), 4096):
             some = other[k : k + 4096]
             e = self.tokenizer.encode([w.decode() for w in some], is_pretokenized=True, add_special_tokens=False)
             ids, at = np.asarray(e.ids, "<u4"), np.asarray([-1 if x is None else x for x in e.word_ids], np.int64)
             edge = np.searchsorted(at, np.arange(len(some) + 1)).tolist()
             for i, w in enumerate(some):
-                self.parts[w] = ids[edge[i] : edge[i + 1]].tobytes()
+                self.memo[w] = ids[edge[i] : edge[i + 1]].tobytes()
 
     def learn(self, words: set[bytes], turn: bool = True) -> None:
         """turn: whether a new generation may begin."""
         if turn and len(self.memo) + len(words) > BOUND:
             self.old_memo, self.memo = self.memo, {}
-            self.old_parts, self.parts = self.parts, {}
-        memo, known, whole, split, unknown = self.memo, self.parts, [], [], set()
-        from_old, part_of_old = self.old_memo.get, self.old_parts.get
+        memo, split, unknown = self.memo, [], set()
+        from_old = self.old_memo.get
         for w in words:
             if (ids := from_old(w)) is not None:
                 memo[w] = ids
@@ -89,22 +87,16 @@ class WordEncoder:
                 head, tail = m.groups()
                 split.append((w, head, tail))
                 for p in (head, tail):
-                    if p not in known:
-                        if (ids := part_of_old(p)) is not None:
-                            known[p] = ids
+                    if p not in memo:
+                        if (ids := from_old(p)) is not None:
+                            memo[p] = ids
                         else:
                             unknown.add(p)
-            else:
-                whole.append(w)
-                if w not in known:
-                    if (ids := part_of_old(w)) is not None:
-                        known[w] = ids
-                    else:
-                        unknown.add(w)
+            elif w not in memo:
+                unknown.add(w)
         self._library(list(unknown))
-        memo.update(zip(whole, map(known.__getitem__, whole), strict=True))
         for w, head, tail in split:
-            memo[w] = known[head] + known[tail]
+            memo[w] = memo[head] + memo[tail]
 
     def encode(self, bodies: list[bytes]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit integers."""
@@ -127,7 +119,6 @@ class WordEncoder:
             get = self.memo.__getitem__
             out += [b"".join(map(get, s)) for s in split]
             if max(map(len, new), default=0) > LONGEST:
-                for known in (self.memo, self.parts):
-                    for w in [w for w in known if len(w) > LONGEST]:
-                        del known[w]
+                for w in [w for w in self.memo if len(w) > LONGEST]:
+                    del self.memo[w]
         return out
