@@ -100,7 +100,8 @@ def located(docs: DataFrame) -> tuple[DataFrame, str]:
 
 def fetch(located_docs: DataFrame, locators: DataFrame, name: str = "locator") -> DataFrame:
     """The rows of a ``located`` table whose locators are asked for (a column of the same name)."""
-    return located_docs.join(locators.select(name).distinct(), name, "left_semi")
+    # locators grow with the documents, so they are never sent whole to all executors
+    return located_docs.join(locators.select(name).distinct().hint("merge"), name, "left_semi")
 
 
 def _staged(docs: DataFrame, at: str, key: str, text: str) -> tuple[DataFrame, str]:
