@@ -45,7 +45,7 @@ from logweave.llm.components import components, forest
 
 WORDS, THRESHOLD, BLOCK, PIVOTS = 5, 75, 2048, 8
 #: Entries that a task gathers before it sends them; a column is hot if so many of them, and a slice's share of them, are its.
-FLUSH, HOT = 1_500_000, 16
+FLUSH, HOT = 750_000, 16
 _HASHES = WordHashes()
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -152,8 +152,11 @@ def hot(g: np.ndarray, slices: int, least: int) -> np.ndarray:
     least = max(least, len(g) // slices)
     out = np.zeros(len(g), bool)
     # few n-grams share their upper 20 bits with so many others
-    bucket = (g >> np.uint64(44)).astype(np.int64)
-    some = np.flatnonzero((np.bincount(bucket, minlength=1 << 20) >= least)[bucket])
+    bucket = (g >> np.uint64(44)).astype(np.int32)
+    full = np.bincount(bucket, minlength=1 << 20) >= least
+    if not full.any():
+        return out
+    some = np.flatnonzero(full[bucket])
     _, at, count = np.unique(g[some], return_inverse=True, return_counts=True)
     out[some] = count[at] >= least
     return out
@@ -173,6 +176,10 @@ def _entries(words: int, slices: int, least: int):
             held.clear()
             keys, size, part = np.repeat(keys, size), np.repeat(size, size), slice_of(g, slices)
             over = hot(g, slices, least)
+            if not over.any():
+                for b in _by_slice(part, keys, size, _six(g)):
+                    yield pa.record_batch([*b.columns, pa.array([b""] * len(b), pa.binary())], schema=_ENTRIES)
+                return
             names = np.unique(g[over])
             of, six = slice_of(names, slices), _six(names)
             for b in _by_slice(part[~over], keys[~over], size[~over], _six(g[~over])):
