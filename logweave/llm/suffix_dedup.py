@@ -8,12 +8,16 @@ A byte goes if a ``width``-byte string that covers it also starts in a document
    (width - 1 bytes) takes the place of a suffix array of the parse: no match has to look further than its phrase.
 2. *Dictionary.* Equal phrases become one entry with the least doc_id; later copies go as a whole. Long repeats thus cost
    one entry for each phrase, however many copies there are.
-3. *Suffix array.* Entries of different documents whose triggers agree are the only ones that can share some of their
-   windows. They are gathered by trigger, their suffixes of ``width`` bytes sorted, and the least doc_id of each run of
-   equal suffixes decides, byte for byte.
+3. *Suffix array.* Entries that share a window have the trigger at the same place in it, and so agree on the trigger with
+   half of the window's other bytes, either before or after it (its *sides*). Only entries of different documents that agree
+   on a side send their bytes. They are gathered by trigger, their suffixes of ``width`` bytes sorted, and the least doc_id
+   of each run of equal suffixes decides, byte for byte.
 
-Triggers are 32 bits in one of many slices, phrases 64 bits more: two different phrases are taken for equal with a chance
-of about 2**-96 for each pair; the suffixes in step 3 are compared as bytes.
+The trigger alone would not do in step 3: in a large corpus nearly every string of 16 bytes stands in some other document
+too, and all bytes would be sent; strings of 33 (at 50 bytes' width) seldom recur by chance.
+
+Phrases are 64 bits and one or two sides of 32 bits: two different phrases are taken for equal with a chance of about
+2**-96 for each pair; the suffixes in step 3 are compared as bytes.
 
 All data that meet in a task are one chunk of documents or one slice of triggers; there are four chunks and one slice for
 every shuffle partition. What a chunk sends for a phrase it sends once, so no common passage heats a slice.
@@ -47,17 +51,21 @@ def _power(n: int) -> np.uint64:
 
 
 class Parse:
-    """Phrases of a list of texts: doc, start of the first and last window, trigger's place, trigger's and phrase's hash."""
+    """Phrases of a list of texts: doc, start of the first and last window, trigger's place, trigger's and phrase's hash,
+    which sides it has (bit 0: the trigger and what stands before it, bit 1: what stands after it) and their hashes."""
 
     def __init__(self, texts: list[bytes], width: int = WIDTH):
         self.width = width
+        #: Bytes of the sides: a window has at least so many before its trigger, or else so many after it.
+        self.before = (width - GRAM + 1) // 2
+        self.after = width - GRAM - self.before + 1
         self.size = np.fromiter(map(len, texts), np.int64, len(texts))
         self.begin = np.concatenate(([0], np.cumsum(self.size)))[:-1].astype(np.int64)
         self.buf = np.frombuffer(b"".join(texts), np.uint8)
         parts = [self._block(a, min(a + BLOCK, len(self.buf) - width + 1)) for a in range(0, len(self.buf) - width + 1, BLOCK)]
         empty = np.zeros(0, np.int64)
-        self.doc, self.first, self.last, self.at, self.trigger, self.phrase = (
-            (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (empty, empty, empty, empty, empty.astype(np.uint64), empty.astype(np.uint64))
+        self.doc, self.first, self.last, self.at, self.trigger, self.phrase, self.sides, self.left, self.right = (
+            (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (empty.astype(t) for t in (*[np.int64] * 4, np.uint64, np.uint64, np.uint8, np.uint32, np.uint32))
         )
 
     def _block(self, a: int, b: int) -> tuple[np.ndarray, ...]:
@@ -95,7 +103,19 @@ class Parse:
 
         shape = ((last - first) * 64 + (at - first)).astype(np.uint64)
         phrase = mix(mix(whole(first)) * np.uint64(3) + whole(last) + shape * np.uint64(0xC2B2AE3D27D4EB4F))
-        return doc, first + a, last + a, at + a, mix(h[at]), phrase
+
+        def side(has: np.ndarray, *grams: np.ndarray) -> np.ndarray:
+            out = np.zeros(len(has), np.uint64)
+            for i in grams:
+                out[has] = mix(out[has] * np.uint64(3) + h[i[has]])
+            return (out >> np.uint64(32)).astype(np.uint32)
+
+        # The grams overlap and cover the side; windows that it belongs to lie within the phrase, so they do too.
+        left, right = first <= at - self.before, last > at - self.before
+        sides = left.astype(np.uint8) | right.astype(np.uint8) << 1
+        left = side(left, at - self.before, at + min(GRAM - self.before, 0), at)
+        right = side(right, at, at + min(GRAM, self.after), at + self.after)
+        return doc, first + a, last + a, at + a, mix(h[at]), phrase, sides, left, right
 
 
 class Entries:
@@ -113,18 +133,42 @@ class Entries:
         self.later = rank > self.rank[self.group] if len(order) else rank > 0
         one = order[at[:-1]]
         self.trigger, self.phrase, self.one = parse.trigger[one], parse.phrase[one], one
+        self.sides, self.left, self.right = parse.sides[one], parse.left[one], parse.right[one]
         part = (self.trigger % np.uint64(slices)).astype(np.int64)
-        self.sent = np.argsort(part, kind="stable")
+        self.sent = np.lexsort((self.rank, part))
         at = cuts(part[self.sent])
         self.parts = [(int(part[self.sent[i]]), self.sent[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)] if len(part) else []
 
 
 def _squeeze(sorted_ids: np.ndarray) -> bytes:
-    return zstandard.compress(np.diff(sorted_ids, prepend=0).tobytes(), 1)
+    return zstandard.compress(np.diff(sorted_ids, prepend=0).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
 
 
 def _expand(data: bytes) -> np.ndarray:
-    return np.cumsum(np.frombuffer(zstandard.decompress(data), np.int64))
+    return np.cumsum(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel())
+
+
+def _pack(own: Entries, which: np.ndarray) -> tuple[bytes, bytes]:
+    """The distinct ids of entries that are in their order, and how many entries there are with a bit where the next id begins."""
+    rank = own.rank[which]
+    return _squeeze(own.table[np.unique(rank)]), len(rank).to_bytes(8, "little") + np.packbits(rank[1:] != rank[:-1]).tobytes()
+
+
+class _Fields:
+    """Reads the arrays of packed entries one after the other."""
+
+    def __init__(self, ids: bytes, data: bytes):
+        self.data, self.at = data, 8
+        self.n = int.from_bytes(data[:8], "little")
+        self.doc = _expand(ids)[np.cumsum(np.append(np.zeros(min(self.n, 1), np.int64), self.bits(max(self.n - 1, 0))))]
+
+    def take(self, kind: type, n: int) -> np.ndarray:
+        out = np.frombuffer(self.data, kind, n, self.at) if n else np.zeros(0, kind)
+        self.at += out.nbytes
+        return out
+
+    def bits(self, n: int) -> np.ndarray:
+        return np.unpackbits(self.take(np.uint8, -(-n // 8)), count=n).astype(np.int64)
 
 
 def _table(rows: dict, schema: pa.Schema) -> pa.Table:
@@ -141,7 +185,7 @@ _DDL = {
     "shared": "slice int, chunk int, flags binary, ids binary, data binary",
     "fate": "chunk int, slice int, flags binary, masks binary",
 }
-#: What a slice says of a chunk's entry: no other document has its trigger; a smaller id has it whole; windows have to be compared.
+#: What a slice says of a chunk's entry: no other document has one of its sides; a smaller id has it whole; windows have to be compared.
 ALONE, COPY, COMPARE = 0, 1, 2
 
 
@@ -159,39 +203,48 @@ def _send(slices: int, width: int):
         _, own, _, _ = _chunk(table, slices, width)
         rows: dict[str, list] = {f.name: [] for f in _SENT}
         for part, which in own.parts:
-            present, rank = np.unique(own.rank[which], return_inverse=True)
+            ids, docs = _pack(own, which)
+            left, right = own.sides[which] & 1, own.sides[which] >> 1
             rows["slice"].append(part)
             rows["chunk"].append(table["chunk"][0].as_py())
-            rows["ids"].append(_squeeze(own.table[present]))
-            rows["data"].append((own.trigger[which] >> np.uint64(32)).astype(np.uint32).tobytes() + own.phrase[which].tobytes() + rank.astype(np.uint16 if len(present) <= 65536 else np.uint32).tobytes())
+            rows["ids"].append(ids)
+            rows["data"].append(docs + b"".join(x.tobytes() for x in (np.packbits(left), np.packbits(right), own.phrase[which], own.left[which[left > 0]], own.right[which[right > 0]])))
         return _table(rows, _SENT)
 
     return send
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """In a slice: which entries another chunk has too, and which triggers belong to different phrases of different documents."""
-    trigger, phrase, doc, size = [], [], [], []
+    """In a slice: which entries another chunk has too, and which sides belong to different phrases of different documents."""
+    phrase, sides, doc, size = [], [], [], []
     for ids, data in zip(table["ids"].to_pylist(), table["data"].to_pylist(), strict=True):
-        known = _expand(ids)
-        wide = 2 if len(known) <= 65536 else 4
-        n = len(data) // (12 + wide)
-        trigger.append(np.frombuffer(data, np.uint32, n))
-        phrase.append(np.frombuffer(data, np.uint64, n, 4 * n))
-        doc.append(known[np.frombuffer(data, np.uint16 if wide == 2 else np.uint32, n, 12 * n)])
-        size.append(n)
-    t, p, d = np.concatenate(trigger), np.concatenate(phrase), np.concatenate(doc)
-    order = np.lexsort((d, p, t))
-    t, p, d = t[order], p[order], d[order]
-    new_t = np.append(True, t[1:] != t[:-1])
-    new_p = new_t | np.append(True, p[1:] != p[:-1])
-    heads = np.flatnonzero(new_p)
-    least = d[heads][np.cumsum(new_p) - 1]
-    # of each trigger: the least and the greatest id among its phrases' own least ones
-    of = np.cumsum(new_t)[heads] - 1
-    at = cuts(of)[:-1]
-    differ = np.minimum.reduceat(d[heads], at) < np.maximum.reduceat(d[heads], at)
-    flag = np.where(d > least, COPY, np.where(differ[np.cumsum(new_t) - 1], COMPARE, ALONE)).astype(np.uint8)
+        fields = _Fields(ids, data)
+        has = fields.bits(fields.n), fields.bits(fields.n)
+        phrase.append(fields.take(np.uint64, fields.n))
+        both = np.zeros((2, fields.n), np.int64)
+        for k in range(2):
+            both[k, has[k] > 0] = fields.take(np.uint32, int(has[k].sum()))
+            both[k, has[k] == 0] = -1
+        sides.append(both)
+        doc.append(fields.doc)
+        size.append(fields.n)
+    p, (left, right), d = np.concatenate(phrase), np.concatenate(sides, axis=1), np.concatenate(doc)
+    order = np.lexsort((d, right, left, p))
+    p, left, right, d = p[order], left[order], right[order], d[order]
+    new = np.append(True, (p[1:] != p[:-1]) | (left[1:] != left[:-1]) | (right[1:] != right[:-1]))
+    heads = np.flatnonzero(new)
+    least = d[heads]
+    # of each side: the least and the greatest id among its phrases' own least ones
+    compare = np.zeros(len(heads), bool)
+    for side in (left[heads], right[heads]):
+        of = np.flatnonzero(side >= 0)
+        of = of[np.argsort(side[of], kind="stable")]
+        at = cuts(side[of])
+        if len(of):
+            differ = np.minimum.reduceat(least[of], at[:-1]) < np.maximum.reduceat(least[of], at[:-1])
+            compare[of[np.repeat(differ, np.diff(at))]] = True
+    mine = np.cumsum(new) - 1
+    flag = np.where(d > least[mine], COPY, np.where(compare[mine], COMPARE, ALONE)).astype(np.uint8)
     out = np.empty(len(flag), np.uint8)
     out[order] = flag
     ends = np.cumsum(size)
@@ -209,14 +262,14 @@ def _compare(slices: int, width: int):
         for part, which in own.parts:
             flags = np.frombuffer(said[part], np.uint8)
             which = which[flags == COMPARE]
-            present, rank = np.unique(own.rank[which], return_inverse=True)
+            ids, docs = _pack(own, which)
             one = own.one[which]
             first, last = parse.first[one], parse.last[one]
             rows["slice"].append(part)
             rows["chunk"].append(table["chunk"][0].as_py())
             rows["flags"].append(said[part])
-            rows["ids"].append(_squeeze(own.table[present]))
-            rows["data"].append(b"".join([len(which).to_bytes(8, "little"), rank.astype(np.uint32).tobytes(), (last - first).astype(np.uint8).tobytes(), *(data[i : j + width] for i, j in zip(first.tolist(), last.tolist(), strict=True))]))
+            rows["ids"].append(ids)
+            rows["data"].append(b"".join([docs, (last - first).astype(np.uint8).tobytes(), *(data[i : j + width] for i, j in zip(first.tolist(), last.tolist(), strict=True))]))
         return _table(rows, _SHARED)
 
     return compare
@@ -227,16 +280,14 @@ def _suffixes(width: int):
         """Sorts the suffixes of the slice's dictionary; the least doc_id of each run of equal ones decides."""
         bodies, starts, docs, counts, at = [], [], [], [], 0
         for ids, data in zip(table["ids"].to_pylist(), table["data"].to_pylist(), strict=True):
-            known = _expand(ids)
-            # how many entries, rank (4 bytes) and run length (1) of each, then their bytes
-            n = int.from_bytes(data[:8], "little")
-            rank = np.frombuffer(data, np.uint32, n, 8)
-            run = np.frombuffer(data, np.uint8, n, 8 + 4 * n).astype(np.int64) + 1
+            # which id and what run length each entry has, then their bytes
+            fields = _Fields(ids, data)
+            run = fields.take(np.uint8, fields.n).astype(np.int64) + 1
             begin = np.concatenate(([0], np.cumsum(run + width - 1)))
-            bodies.append(data[8 + 5 * n :])
+            bodies.append(data[fields.at :])
             offset = np.arange(run.sum()) - np.repeat(np.cumsum(run) - run, run)
             starts.append(np.repeat(begin[:-1], run) + offset + at)
-            docs.append(np.repeat(known[rank] if n else known[:0], run))
+            docs.append(np.repeat(fields.doc, run))
             counts.append(run)
             at += len(bodies[-1])
         start, doc = np.concatenate(starts), np.concatenate(docs)

@@ -1,8 +1,12 @@
 from __future__ import annotations
 
 import hashlib
+import random
 
-from logweave.llm.suffix_dedup import suffix_dedup
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from logweave.llm.suffix_dedup import _compare, _meet, _send, suffix_dedup
 from tests.llm.fixtures import documents, texts
 
 
@@ -59,3 +63,26 @@ def test_texts_longer_than_a_block(spark, monkeypatch):
     windows = sorted((d, s) for d, a, b in zip(parse.doc, parse.first, parse.last, strict=True) for s in range(a, b + 1))
     every = [(d, b + k) for d, (b, n) in enumerate(zip(parse.begin, parse.size, strict=True)) for k in range(max(0, n - 49))]
     assert windows == every
+
+
+def test_snippets_of_about_a_window_at_every_width(spark):
+    rng = random.Random(3)
+    letters = lambda n: "".join(rng.choice("abcdefghé ") for _ in range(n))
+    for width in (17, 18, 33, 50, 64):
+        snippets = [letters(width + rng.randint(-3, 20)) for _ in range(25)]
+        bodies = ["".join(rng.choice([letters(rng.randint(1, 40)), rng.choice(snippets)]) for _ in range(12)) for _ in range(60)]
+        rows = list(enumerate(bodies))
+        assert got(suffix_dedup(documents(spark, bodies), width)) == brute(rows, width)
+        assert sum(x[2] for x in brute(rows, width)) > 1000
+
+
+def test_strings_of_a_trigger_that_recur_send_no_text():
+    # Every word stands in many documents, as any 16 bytes do in a large corpus, but hardly any 33 bytes recur.
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(30)) for _ in range(3000)]
+    bodies = [" ".join(rng.choices(words, k=100)).encode() for _ in range(100)]
+    chunks = [pa.table([pa.array([c] * 50, pa.int32()), pa.array(range(50 * c, 50 * c + 50), pa.int64()), pa.array(bodies[50 * c : 50 * c + 50], pa.binary())], names=["chunk", "doc_id", "body"]) for c in range(2)]
+    back = _meet(pa.concat_tables([_send(1, 50)(c) for c in chunks]))
+    shared = pa.concat_tables([_compare(1, 50)(c, back.filter(pc.equal(back["chunk"], k))) for k, c in enumerate(chunks)])
+    assert len(shared) == 2
+    assert sum(len(x.as_py()) for x in shared["data"]) < 0.1 * sum(map(len, bodies))
