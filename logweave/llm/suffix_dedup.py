@@ -9,9 +9,11 @@ A byte goes if a ``width``-byte string that covers it also starts in a document
 2. *Dictionary.* Equal phrases become one entry with the least doc_id; later copies go as a whole. Long repeats thus cost
    one entry for each phrase, however many copies there are.
 3. *Suffix array.* Entries that share a window have the trigger at the same place in it, and so agree on the trigger with
-   half of the window's other bytes, either before or after it (its *sides*). Only entries of different documents that agree
-   on a side send their bytes. They are gathered by trigger, their suffixes of ``width`` bytes sorted, and the least doc_id
-   of each run of equal suffixes decides, byte for byte.
+   half of the window's other bytes, either before or after it (its *sides*). First, a chunk sends its distinct sides alone,
+   as sorted numbers of ``NAME`` bits, and hears which of them another chunk has. Only entries with a side that another
+   document seems to have are sent as such, with their ids; and of these, only different ones that do agree on a side, in
+   different documents, send their bytes. They are gathered by trigger, their suffixes of ``width`` bytes sorted, and the
+   least doc_id of each run of equal suffixes decides, byte for byte.
 
 The trigger alone would not do in step 3: in a large corpus nearly every string of 16 bytes stands in some other document
 too, and all bytes would be sent; strings of 33 (at 50 bytes' width) seldom recur by chance.
@@ -20,7 +22,8 @@ Phrases are 64 bits and one or two sides of 32 bits: two different phrases are t
 2**-96 for each pair; the suffixes in step 3 are compared as bytes.
 
 All data that meet in a task are one chunk of documents or one slice of triggers; there are four chunks and one slice for
-every shuffle partition. What a chunk sends for a phrase it sends once, so no common passage heats a slice.
+every shuffle partition. What a chunk sends for a phrase it sends once, so no common passage heats a slice. All that is
+shuffled stays on disk until the end, so texts go to their chunks compressed and most phrases send a name of a few bytes.
 
 Null texts count as empty, null ids as smaller than all others; rows with equal ids never remove each other's bytes.
 Texts shorter than ``width`` are kept as they are. Other columns are not read, but for those to carry along.
@@ -39,6 +42,8 @@ from pyspark.sql import functions as F
 from logweave.llm._common import chunked, cuts, ids_of, mix, session, shuffle_partitions
 
 WIDTH, GRAM = 50, 16
+#: Bits of a side's name. Two sides of a slice share one by chance now and then (a slice of 10 MB of Parquet has some 2**21); that only sends an entry too many.
+NAME = 28
 #: Windows that are parsed at a time; the arrays of a step stay in the processor's cache.
 BLOCK = 1 << 17
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -134,12 +139,31 @@ class Entries:
         one = order[at[:-1]]
         self.trigger, self.phrase, self.one = parse.trigger[one], parse.phrase[one], one
         self.sides, self.left, self.right = parse.sides[one], parse.left[one], parse.right[one]
-        part = (self.trigger % np.uint64(slices)).astype(np.int64)
+        self.part = part = (self.trigger % np.uint64(slices)).astype(np.int64)
         self.sent = np.lexsort((self.rank, part))
         at = cuts(part[self.sent])
         self.parts = [(int(part[self.sent[i]]), self.sent[i:j]) for i, j in zip(at[:-1], at[1:], strict=True)] if len(part) else []
 
 
+class Names:
+    """The distinct names of a chunk's sides, by slice; which of them entries of different documents in the chunk share."""
+
+    def __init__(self, own: Entries):
+        left, right = np.flatnonzero(own.sides & 1), np.flatnonzero(own.sides >> 1)
+        self.entry = np.concatenate((left, right))
+        name = np.concatenate((own.left[left], own.right[right])) >> np.uint32(32 - NAME)
+        key = own.part[self.entry] << 32 | name.astype(np.int64)
+        order = np.argsort(key, kind="stable")
+        at = cuts(key[order])
+        self.group = np.empty(len(order), np.int64)
+        self.group[order] = np.repeat(np.arange(len(at) - 1), np.diff(at))
+        key, rank = key[order[at[:-1]]], own.rank[self.entry[order]]
+        self.shared = np.minimum.reduceat(rank, at[:-1]) < np.maximum.reduceat(rank, at[:-1]) if len(order) else rank > 0
+        self.name = (key & 0xFFFFFFFF).astype(np.uint32)
+        at = cuts(key >> 32)
+        self.parts = [(int(key[i] >> 32), slice(i, j)) for i, j in zip(at[:-1], at[1:], strict=True)] if len(key) else []
+
+
 def _squeeze(sorted_ids: np.ndarray) -> bytes:
     return zstandard.compress(np.diff(sorted_ids, prepend=0).view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
 
@@ -148,6 +172,14 @@ def _expand(data: bytes) -> np.ndarray:
     return np.cumsum(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(8, -1).T.copy().view(np.int64).ravel())
 
 
+def _squeeze_names(names: np.ndarray) -> bytes:
+    return zstandard.compress(np.diff(names, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _expand_names(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1).T.copy().view(np.uint32).ravel(), dtype=np.uint32)
+
+
 def _pack(own: Entries, which: np.ndarray) -> tuple[bytes, bytes]:
     """The distinct ids of entries that are in their order, and how many entries there are with a bit where the next id begins."""
     rank = own.rank[which]
@@ -175,38 +207,101 @@ def _table(rows: dict, schema: pa.Schema) -> pa.Table:
     return pa.table([pa.array(rows[f.name], f.type) for f in schema], schema=schema)
 
 
-_SENT = pa.schema([("slice", pa.int32()), ("chunk", pa.int32()), ("ids", pa.binary()), ("data", pa.binary())])
-_BACK = pa.schema([("chunk", pa.int32()), ("slice", pa.int32()), ("flags", pa.binary())])
-_SHARED = pa.schema([("slice", pa.int32()), ("chunk", pa.int32()), ("flags", pa.binary()), ("ids", pa.binary()), ("data", pa.binary())])
-_FATE = pa.schema([("chunk", pa.int32()), ("slice", pa.int32()), ("flags", pa.binary()), ("masks", pa.binary())])
+_NAMES = pa.schema([("slice", pa.int32()), ("chunk", pa.int32()), ("names", pa.binary())])
+_SEEN = pa.schema([("chunk", pa.int32()), ("slice", pa.int32()), ("seen", pa.binary())])
+_SENT = pa.schema([("slice", pa.int32()), ("chunk", pa.int32()), ("sent", pa.binary()), ("ids", pa.binary()), ("data", pa.binary())])
+_BACK = pa.schema([("chunk", pa.int32()), ("slice", pa.int32()), ("sent", pa.binary()), ("flags", pa.binary())])
+_SHARED = pa.schema([("slice", pa.int32()), ("chunk", pa.int32()), ("sent", pa.binary()), ("flags", pa.binary()), ("ids", pa.binary()), ("data", pa.binary())])
+_FATE = pa.schema([("chunk", pa.int32()), ("slice", pa.int32()), ("sent", pa.binary()), ("flags", pa.binary()), ("masks", pa.binary())])
 _DDL = {
-    "sent": "slice int, chunk int, ids binary, data binary",
-    "back": "chunk int, slice int, flags binary",
-    "shared": "slice int, chunk int, flags binary, ids binary, data binary",
-    "fate": "chunk int, slice int, flags binary, masks binary",
+    "names": "slice int, chunk int, names binary",
+    "seen": "chunk int, slice int, seen binary",
+    "sent": "slice int, chunk int, sent binary, ids binary, data binary",
+    "back": "chunk int, slice int, sent binary, flags binary",
+    "shared": "slice int, chunk int, sent binary, flags binary, ids binary, data binary",
+    "fate": "chunk int, slice int, sent binary, flags binary, masks binary",
 }
 #: What a slice says of a chunk's entry: no other document has one of its sides; a smaller id has it whole; windows have to be compared.
 ALONE, COPY, COMPARE = 0, 1, 2
 
 
+def _zip(batches):
+    squeeze = zstandard.ZstdCompressor(level=1).compress
+    for b in batches:
+        k = b.schema.get_field_index("body")
+        columns = b.columns
+        columns[k] = pa.array([squeeze(x) for x in b.column(k).to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays(columns, names=["zipped" if n == "body" else n for n in b.schema.names])
+
+
+def _texts(table: pa.Table) -> list[bytes]:
+    if "body" in table.column_names:
+        return table["body"].to_pylist()
+    return list(map(zstandard.ZstdDecompressor().decompress, table["zipped"].to_pylist()))
+
+
 def _chunk(table: pa.Table, slices: int, width: int) -> tuple[Parse, Entries, np.ndarray, np.ndarray]:
     """The chunk's rows come in any order; sorted by id and text they parse alike each time."""
-    ids, texts = ids_of(table["doc_id"]), table["body"].to_pylist()
+    ids, texts = ids_of(table["doc_id"]), _texts(table)
     order = np.array(sorted(range(len(texts)), key=lambda i: (ids[i], texts[i])), np.int64)
     ids = ids[order]
     parse = Parse([texts[i] for i in order], width)
     return parse, Entries(parse, ids, slices), ids, order
 
 
+def _tell(slices: int, width: int):
+    def tell(table: pa.Table) -> pa.Table:
+        _, own, _, _ = _chunk(table, slices, width)
+        names = Names(own)
+        rows: dict[str, list] = {f.name: [] for f in _NAMES}
+        for part, at in names.parts:
+            rows["slice"].append(part)
+            rows["chunk"].append(table["chunk"][0].as_py())
+            rows["names"].append(_squeeze_names(names.name[at]))
+        return _table(rows, _NAMES)
+
+    return tell
+
+
+def _recur(table: pa.Table) -> pa.Table:
+    """In a slice: which names another chunk has too, a bit for each."""
+    names = [_expand_names(x) for x in table["names"].to_pylist()]
+    every = np.concatenate(names)
+    order = np.argsort(every, kind="stable")
+    same = every[order[1:]] == every[order[:-1]]
+    seen = np.empty(len(every), bool)
+    seen[order] = np.append(same, False) | np.append(False, same)
+    ends = np.cumsum([len(x) for x in names])
+    return pa.table([table["chunk"], table["slice"], pa.array([np.packbits(seen[e - len(x) : e]).tobytes() for e, x in zip(ends, names, strict=True)], pa.binary())], schema=_SEEN)
+
+
+def _of(which: np.ndarray, sent: bytes) -> np.ndarray:
+    """Those of a slice's entries that have been sent."""
+    return which[np.unpackbits(np.frombuffer(sent, np.uint8), count=len(which)) > 0]
+
+
 def _send(slices: int, width: int):
-    def send(table: pa.Table) -> pa.Table:
+    def send(table: pa.Table, seen: pa.Table | None = None) -> pa.Table:
+        """Entries with a name that another document has; without the slices' answers, all."""
         _, own, _, _ = _chunk(table, slices, width)
+        go = np.full(len(own.one), seen is None)
+        if seen is not None:
+            names = Names(own)
+            said = dict(zip(seen["slice"].to_pylist(), seen["seen"].to_pylist(), strict=True))
+            for part, at in names.parts:
+                names.shared[at] |= np.unpackbits(np.frombuffer(said[part], np.uint8), count=at.stop - at.start) > 0
+            go[names.entry[names.shared[names.group]]] = True
         rows: dict[str, list] = {f.name: [] for f in _SENT}
         for part, which in own.parts:
+            sent = np.packbits(go[which])
+            which = which[go[which]]
+            if not len(which):
+                continue
             ids, docs = _pack(own, which)
             left, right = own.sides[which] & 1, own.sides[which] >> 1
             rows["slice"].append(part)
             rows["chunk"].append(table["chunk"][0].as_py())
+            rows["sent"].append(sent.tobytes())
             rows["ids"].append(ids)
             rows["data"].append(docs + b"".join(x.tobytes() for x in (np.packbits(left), np.packbits(right), own.phrase[which], own.left[which[left > 0]], own.right[which[right > 0]])))
         return _table(rows, _SENT)
@@ -215,7 +310,7 @@ def _send(slices: int, width: int):
 
 
 def _meet(table: pa.Table) -> pa.Table:
-    """In a slice: which entries another chunk has too, and which sides belong to different phrases of different documents."""
+    """In a slice: which of the entries sent another chunk has too, and which sides belong to different phrases of different documents."""
     phrase, sides, doc, size = [], [], [], []
     for ids, data in zip(table["ids"].to_pylist(), table["data"].to_pylist(), strict=True):
         fields = _Fields(ids, data)
@@ -248,7 +343,7 @@ def _meet(table: pa.Table) -> pa.Table:
     out = np.empty(len(flag), np.uint8)
     out[order] = flag
     ends = np.cumsum(size)
-    return pa.table([table["chunk"], table["slice"], pa.array([out[e - n : e].tobytes() for e, n in zip(ends, size, strict=True)], pa.binary())], schema=_BACK)
+    return pa.table([table["chunk"], table["slice"], table["sent"], pa.array([out[e - n : e].tobytes() for e, n in zip(ends, size, strict=True)], pa.binary())], schema=_BACK)
 
 
 def _compare(slices: int, width: int):
@@ -257,17 +352,20 @@ def _compare(slices: int, width: int):
         if not len(back):
             return _table(rows, _SHARED)
         parse, own, _, _ = _chunk(table, slices, width)
-        said = dict(zip(back["slice"].to_pylist(), back["flags"].to_pylist(), strict=True))
+        said = {p: x for p, *x in zip(back["slice"].to_pylist(), back["sent"].to_pylist(), back["flags"].to_pylist(), strict=True)}
         data = parse.buf.tobytes()
         for part, which in own.parts:
-            flags = np.frombuffer(said[part], np.uint8)
-            which = which[flags == COMPARE]
+            if part not in said:
+                continue
+            sent, flags = said[part]
+            which = _of(which, sent)[np.frombuffer(flags, np.uint8) == COMPARE]
             ids, docs = _pack(own, which)
             one = own.one[which]
             first, last = parse.first[one], parse.last[one]
             rows["slice"].append(part)
             rows["chunk"].append(table["chunk"][0].as_py())
-            rows["flags"].append(said[part])
+            rows["sent"].append(sent)
+            rows["flags"].append(flags)
             rows["ids"].append(ids)
             rows["data"].append(b"".join([docs, (last - first).astype(np.uint8).tobytes(), *(data[i : j + width] for i, j in zip(first.tolist(), last.tolist(), strict=True))]))
         return _table(rows, _SHARED)
@@ -308,7 +406,7 @@ def _suffixes(width: int):
         for run in counts:
             bit = gone[i : (i := i + int(run.sum()))].astype(np.uint64) << (np.arange(run.sum()) - np.repeat(np.cumsum(run) - run, run)).astype(np.uint64)
             masks.append((np.add.reduceat(bit, np.cumsum(run) - run) if len(run) else bit).astype(np.uint64).tobytes())
-        return pa.table([table["chunk"], table["slice"], table["flags"], pa.array(masks, pa.binary())], schema=_FATE)
+        return pa.table([table["chunk"], table["slice"], table["sent"], table["flags"], pa.array(masks, pa.binary())], schema=_FATE)
 
     return suffixes
 
@@ -317,11 +415,14 @@ def _decide(slices: int, width: int, texts: bool, carried: int):
     def decide(table: pa.Table, fate: pa.Table) -> pa.Table:
         parse, own, ids, order = _chunk(table, slices, width)
         whole, mask = np.zeros(len(own.one), bool), np.zeros(len(own.one), np.uint64)
-        said = {p: (f, m) for p, f, m in zip(fate["slice"].to_pylist(), fate["flags"].to_pylist(), fate["masks"].to_pylist(), strict=True)}
+        said = {p: x for p, *x in zip(fate["slice"].to_pylist(), fate["sent"].to_pylist(), fate["flags"].to_pylist(), fate["masks"].to_pylist(), strict=True)}
         for part, which in own.parts:
-            flags = np.frombuffer(said[part][0], np.uint8)
+            if part not in said:
+                continue
+            sent, flags, masks = said[part]
+            which, flags = _of(which, sent), np.frombuffer(flags, np.uint8)
             whole[which] = flags == COPY
-            mask[which[flags == COMPARE]] = np.frombuffer(said[part][1], np.uint64)
+            mask[which[flags == COMPARE]] = np.frombuffer(masks, np.uint64)
         n = len(parse.buf)
         edge = np.zeros(n + 1, np.int32)
         all_of = own.later | whole[own.group] if len(own.one) else own.later
@@ -357,15 +458,17 @@ def suffix_dedup(docs: DataFrame, width: int = WIDTH, texts: bool = True, carry:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, with ``texts`` kept_text, and the columns in ``carry`` as carried_0, ...
 
     kept_sha256 is of all bytes that stay; from kept_text a character goes whole if only a part of it would stay.
-    width is from 17 to 64 bytes. One text exchange serves all three visits to a chunk.
+    width is from 17 to 64 bytes. One text exchange serves all four visits to a chunk.
     """
     spark = session(docs.sparkSession)
     n = shuffle_partitions(spark)
-    parts = chunked(docs, 4 * n, key, text, carry)
-    sent = parts.groupBy("chunk").applyInArrow(_send(n, width), _DDL["sent"])
+    kinds = dict(docs.dtypes)
+    parts = chunked(docs, 4 * n, key, text, carry).mapInArrow(_zip, "chunk int, doc_id long, zipped binary" + "".join(f", carried_{k} {kinds[c]}" for k, c in enumerate(carry)))
+    names = parts.groupBy("chunk").applyInArrow(_tell(n, width), _DDL["names"])
+    seen = names.groupBy("slice").applyInArrow(_recur, _DDL["seen"])
+    sent = parts.groupBy("chunk").cogroup(seen.groupBy("chunk")).applyInArrow(_send(n, width), _DDL["sent"])
     back = sent.groupBy("slice").applyInArrow(_meet, _DDL["back"])
     shared = parts.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(_compare(n, width), _DDL["shared"])
     fate = shared.groupBy("slice").applyInArrow(_suffixes(width), _DDL["fate"])
-    kinds = dict(docs.dtypes)
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_text string" * texts + "".join(f", carried_{k} {kinds[c]}" for k, c in enumerate(carry))
     return parts.groupBy("chunk").cogroup(fate.groupBy("chunk")).applyInArrow(_decide(n, width, texts, len(carry)), out)

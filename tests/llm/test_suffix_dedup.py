@@ -86,3 +86,17 @@ def test_strings_of_a_trigger_that_recur_send_no_text():
     shared = pa.concat_tables([_compare(1, 50)(c, back.filter(pc.equal(back["chunk"], k))) for k, c in enumerate(chunks)])
     assert len(shared) == 2
     assert sum(len(x.as_py()) for x in shared["data"]) < 0.1 * sum(map(len, bodies))
+
+
+def test_texts_without_repeats_shuffle_little_more_than_themselves(spark):
+    rng = random.Random(5)
+    bodies = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=20000)) for _ in range(200)]
+    bodies[150] = bodies[150][:5000] + bodies[20][300:600] + bodies[150][5000:]
+    written = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(False).head().totalShuffleWrite()
+    docs, before = documents(spark, bodies), written()
+    rows = {r.doc_id: r.n_removed for r in suffix_dedup(docs, texts=False).collect()}
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    assert rows[150] == 300
+    assert sum(rows.values()) == 300
+    # documents() deals them once, too
+    assert written() - before < (1 + 1.2) * sum(map(len, bodies))
