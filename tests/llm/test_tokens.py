@@ -145,3 +145,24 @@ def test_long_words_are_not_remembered():
     long = b"q" * 5000 + b"."
     assert encoder.encode([b"a b " + long, long]) == [encoder.encode([b"a b "])[0] + encoder.encode([long])[0], encoder.encode([long])[0]]
     assert max(map(len, encoder.memo)) <= 256
+
+
+def test_words_are_cut_into_parts_and_each_is_asked_for_once(monkeypatch):
+    encoder, asked = WordEncoder(PATH), []
+    monkeypatch.setattr(encoder, "_library", lambda parts, own=encoder._library: asked.extend(parts) or own(parts))
+    bodies = ["abc abc-12. ABC, (abc!!)", "\u00c0bc2\u00e0bc \u00d7\u00c0. \u00d7\u00e0. it's", "abc 21 \u00c0BC it's"]
+    got = encoder.encode([x.encode() for x in bodies])
+    assert [g + np.array([1], "<u4").tobytes() for g in got] == [x.tobytes() for x in ids(bodies)]
+    assert sorted(p.decode() for p in asked) == sorted(["abc", "-", "1", "2", ".", ",", "(", "!!)", "\u00e0bc", "\u00d7\u00c0.", "\u00d7\u00e0.", "it's"])
+
+
+@pytest.mark.parametrize("at_once", [1, 7, 40])
+def test_long_texts_are_encoded_in_pieces(monkeypatch, at_once):
+    from logweave.llm import word_tokens
+
+    monkeypatch.setattr(word_tokens, "AT_ONCE", at_once)
+    rng = random.Random(at_once)
+    signs = ["a", "B", "\u00e9", "\u00c9", "\u00df", "\u00f7", "\u00d7", "'", "'s", "<", "<|", "|>", "<|endoftext|>", " ", " ", "\n", "\t", "\x0b", "\x1c", "\u00a0", "7", "\u00b2", "-", ".", ",.", "\u0301", "\u0130", "\u4e2d", "\u03a3", "\x7f", "\x00"]
+    bodies = ["", " ", "\n \t", *ODD, *("".join(rng.choices(signs, k=rng.randrange(60))) for _ in range(400))]
+    got = WordEncoder(PATH).encode([x.encode() for x in bodies])
+    assert [g + np.array([1], "<u4").tobytes() for g in got] == [x.tobytes() for x in ids(bodies)]
