@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -166,3 +167,19 @@ def test_long_texts_are_encoded_in_pieces(monkeypatch, at_once):
     bodies = ["", " ", "\n \t", *ODD, *("".join(rng.choices(signs, k=rng.randrange(60))) for _ in range(400))]
     got = WordEncoder(PATH).encode([x.encode() for x in bodies])
     assert [g + np.array([1], "<u4").tobytes() for g in got] == [x.tobytes() for x in ids(bodies)]
+
+
+def test_pieces_ask_the_library_for_each_part_once(monkeypatch):
+    from types import SimpleNamespace
+
+    from logweave.llm import packing
+
+    encoder, asked = WordEncoder(PATH), []
+    monkeypatch.setattr(encoder, "_library", lambda parts, own=encoder._library: asked.extend(parts) or own(parts))
+    monkeypatch.setattr(packing.WordEncoder, "load", lambda path: encoder)
+    monkeypatch.setattr(packing, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 0)))
+    bodies = [f"{w}{k}-{w}, ({w})" for k in range(10) for w in ("abc", "étÉ")]
+    batch = pa.record_batch([pa.array(range(20), pa.int64()), pa.array([x.encode() for x in bodies])], names=["doc_id", "body"])
+    (rows,) = packing._pieces(PATH, 4096, 1)([batch])
+    assert [(r["length"], r["ids_crc32"]) for r in rows.to_pylist()] == [(len(x), zlib.crc32(x.tobytes())) for x in ids(bodies)]
+    assert sorted(p.decode() for p in asked) == sorted(["abc", "été", "-", ",", "(", ")", *"0123456789"])
